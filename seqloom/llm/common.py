@@ -119,20 +119,23 @@ class WordCache:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def ensure(self, words: Iterable[str]) -> dict[str, bytes]:
+        """A table that has all of ``words``."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = set(words).difference(new)
+        if old:
+            again = [w for w in missing if w in old]
+            new.update((w, old[w]) for w in again)
+            missing.difference_update(again)
+        if missing:
+            listed = list(missing)
+            new.update(zip(listed, self.code(listed)))
+        return new
+
     def join(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.new.__getitem__, words))
         except KeyError:
-            if len(self.new) > self.limit:
-                self.old, self.new = self.new, {}
-            new, old = self.new, self.old
-            missing = []
-            for w in set(words):
-                if w not in new:
-                    if (known := old.get(w)) is None:
-                        missing.append(w)
-                    else:
-                        new[w] = known
-            if missing:
-                new.update(zip(missing, self.code(missing)))
-            return b"".join(map(new.__getitem__, words))
+            return b"".join(map(self.ensure(words).__getitem__, words))

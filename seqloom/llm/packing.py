@@ -14,11 +14,14 @@ were read. Repeated rows are packed as often as they occur. Further input column
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,30 +33,68 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import WordCache, keep
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 SEARCH_NODES = 20_000
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: The tokenizer's own split pattern, and letters that lowering and composing leave alone but for case.
+_RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u017f]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable bytes are themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE = _byte_letters()
 Pattern = tuple[int, ...]
 
 
 class WordCoder:
-    """Ids of texts by a tokenizer that drops white space and never looks across it, kept by word."""
+    """Ids of texts by a tokenizer that lowers case, drops white space and never looks across it.
+
+    Words are kept, and below them the runs of letters, digits and signs that the tokenizer's model sees one at a
+    time. Words of letters that Unicode may fold or compose differently go through the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.packed = WordCache(CACHE_ENTRIES, self._raw)
+        self.model = self.tokenizer.model
+        self.words = WordCache(CACHE_ENTRIES, self._words)
+        self.runs = WordCache(CACHE_ENTRIES, self._runs)
+        own = json.loads(self.tokenizer.to_str())
+        self.splits = own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _RUN_PATTERN and [
+            x["type"] for x in own["normalizer"]["normalizers"]
+        ] == ["NFC", "Replace", "Lowercase"]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if not self.splits:
+            return self._raw(words)
+        plain, find = _PLAIN.fullmatch, _RUN.findall
+        found = [find(w.lower()) if plain(w) else None for w in words]
+        have = self.runs.ensure(chain.from_iterable(f for f in found if f))
+        return [self._raw([w])[0] if f is None else b"".join(map(have.__getitem__, f)) for w, f in zip(words, found)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        shown = (r if r.isascii() else "".join(map(_BYTE.__getitem__, r.encode())) for r in runs)
+        return [array("I", [t.id for t in tokenize(s)]).tobytes() for s in shown]
 
     def encode(self, text: str) -> bytes:
         if _CONTROL.search(text):  # these split words for Python but not for the tokenizer
             return self._raw([text])[0]
-        return self.packed.join(text.split())
+        return self.words.join(text.split())
 
 
 @lru_cache(maxsize=2)
