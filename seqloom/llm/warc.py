@@ -33,6 +33,7 @@ MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 HEAD_BYTES = 1 << 16
 SPLIT_BYTES = 16 << 20
+MOST_TASKS = 100_000
 RECORD = (
     "record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, "
     "payload binary, file string, at long"
@@ -173,7 +174,8 @@ def _rows_in(fs: pafs.FileSystem, path: str, shown: str, size: int, start: int,
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """Records of the archives in ``files`` (file, bytes), read by ranges of ``split_bytes``."""
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    spread = ranges.repartition(F.xxhash64("file", "start"))
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).alias("n")).first()["n"]
+    spread = ranges.repartition(max(1, min(int(tasks), MOST_TASKS)), "file", "start")  # a given number isn't coalesced: the rows are small, the ranges aren't
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
