@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, neardup, packing, quality, toxicity, warc
+from seqloom.llm import bpe, neardup, packing, pii, quality, toxicity, warc
 from seqloom.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = pii.spelled(pii.KINDS)
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        pii.spelled((*pii.KINDS, "term")).alias("spans"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
@@ -53,7 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_warc, op5_byte_bpe, op9_quality, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_warc, op5_byte_bpe, op8_pii, op9_quality, op10_best_fit_packing)}
 
 
 ORACLE = {
