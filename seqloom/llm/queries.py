@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, neardup, packing, pii, quality, toxicity, warc
+from seqloom.llm import ann, bpe, neardup, packing, pii, quality, toxicity, vectors, warc
 from seqloom.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
     base = pii.spelled(pii.KINDS)
@@ -64,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_warc, op5_byte_bpe, op8_pii, op9_quality, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_warc, op5_byte_bpe, op6_embedding_near_dedup, op7_cross_polytope, op8_pii, op9_quality, op10_best_fit_packing)}
 
 
 ORACLE = {
@@ -77,6 +85,18 @@ ORACLE = {
             CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM g
     """,
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+            WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+        ), reach AS (
+            SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+        ), c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+    """,
 }
 
 
