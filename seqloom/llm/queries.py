@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, bpe, neardup, packing, pii, quality, toxicity, vectors, warc
+from seqloom.llm import ann, bpe, neardup, packing, pii, quality, toxicity, urls, vectors, warc
 from seqloom.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+RULES = [
+    urls.Rule.parse("block", "net/"), urls.Rule.parse("allow", "example.net/en/"),
+    urls.Rule.parse("block", "example.com/de/"), urls.Rule.parse("allow", "org/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"), payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -72,7 +83,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_warc, op5_byte_bpe, op6_embedding_near_dedup, op7_cross_polytope, op8_pii, op9_quality, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_url_filter, op4_warc, op5_byte_bpe, op6_embedding_near_dedup, op7_cross_polytope, op8_pii, op9_quality, op10_best_fit_packing)}
 
 
 ORACLE = {
