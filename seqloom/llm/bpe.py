@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seqloom.llm.common import WordCache
+from seqloom.llm.common import WordCache, chunks
 
 #: White space as Unicode has it, which is what the split pattern's ``\s`` stands for.
 WHITE = "\t-\r \x85\xa0  -     　"
-LEAF_BYTES = 24
+LEAF_BYTES = 8
+LEAVES = 80_000
 SLICE_CHARS = 1 << 20
-CACHE_ENTRIES = 300_000
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+UNITS, MATCHES = 250_000, 150_000
+ROWS_AT_ONCE = 500
+_ODD_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -48,49 +51,62 @@ class TreeBPE:
         self.ranks = ranks
         self.split = split_pattern(pattern)
         self.token = {i: b for b, i in ranks.items()}
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.packed = WordCache(CACHE_ENTRIES, self._units)
+        self.listed = np.full(max(self.token, default=0) + 1, b"", object)
+        self.listed[list(self.token)] = list(self.token.values())
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.leaves: dict[bytes, tuple[int, ...]] = {}
+        self.units = WordCache(UNITS, self._units)
+        self.matches = WordCache(MATCHES, self._matches)
 
     # one match of the pattern
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self._tree(piece)
-
-    def _tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self._merge(piece)
-        middle = len(piece) // 2
-        return self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
-
-    def _join(self, left: list[int], right: list[int]) -> list[int]:
+        return (whole,) if whole is not None else self._tree(piece)
+
+    def _tree(self, piece: bytes) -> tuple[int, ...]:
+        if len(piece) > LEAF_BYTES:
+            middle = len(piece) // 2
+            return self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
+        leaf = self.leaves.get(piece)
+        if leaf is None:
+            if len(self.leaves) > LEAVES:
+                self.leaves.clear()
+            leaf = self.leaves[piece] = tuple(self._merge(piece))
+        return leaf
+
+    def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's operation; it is associative, as both sides are encodings of their bytes."""
         if not left or not right:
             return left or right
-        if self._stands(left[-1], right[0]):
-            return left + right
+        window = self._pair(left[-1], right[0])
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
-            window = self._merge(b"".join(map(self.token.__getitem__, left[a:] + right[:b])))
             before = a == 0 or self._stands(left[a - 1], window[0])
             after = b == len(right) or self._stands(window[-1], right[b])
             if before and after:
                 return left[:a] + window + right[b:]
             width *= 2
+            inside = left[max(0, len(left) - width) :] + right[:width]
+            window = tuple(self._merge(b"".join(map(self.token.__getitem__, inside))))
 
-    def _stands(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
+    def _pair(self, a: int, b: int) -> tuple[int, ...]:
+        """What the bytes of two tokens encode to."""
+        known = self.pairs.get((a, b))
         if known is None:
-            if len(self.stable) > CACHE_ENTRIES:
-                self.stable.clear()
-            known = self.stable[a, b] = self._merge(self.token[a] + self.token[b]) == [a, b]
+            if len(self.pairs) > LEAVES:
+                self.pairs.clear()
+            known = self.pairs[a, b] = tuple(self._merge(self.token[a] + self.token[b]))
         return known
 
+    def _stands(self, a: int, b: int) -> bool:
+        return self._pair(a, b) == (a, b)
+
     def _merge(self, piece: bytes) -> list[int]:
         """Least rank first, leftmost among equals."""
         ranks = self.ranks
-        if len(piece) > 4 * LEAF_BYTES:
+        if len(piece) > 96:
             return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = len(ranks) + 1
@@ -141,22 +157,38 @@ class TreeBPE:
     def _slice(self, text: str) -> bytes:
         if not text:
             return b""
-        if _UNEVEN.search(text, 1 if text[0] == " " else 0):
+        if uneven(text):
             units = self.split.findall(text)
         else:  # single white space only: a match never reaches over a space, so words stand alone
             first, *rest = text.split(" ")
             units = [" " + w for w in rest]
             if first:
                 units.insert(0, first)
-        return self.packed.join(units)
+        return self.units.join(units)
 
     def _units(self, units: list[str]) -> list[bytes]:
-        find, code = self.split.findall, self.encode_piece
-        return [array("i", [i for m in find(u) for i in code(m.encode())]).tobytes() for u in units]
+        find = self.split.findall
+        found = [
+            [u] if u[1:].isalpha() and u[0] == " " else [u[:-1], u[-1]] if u[-1] in ".," and u[1:-1].isalpha() and u[0] == " " else find(u)
+            for u in units
+        ]
+        have = self.matches.ensure(chain.from_iterable(found))
+        return [have[f[0]] if len(f) == 1 else b"".join(map(have.__getitem__, f)) for f in found]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Concatenation up the tree; join() does the levels below a leaf at once."""
-        return b"".join(map(self.token.__getitem__, ids))
+    def _matches(self, matches: list[str]) -> list[bytes]:
+        return [array("i", self.encode_piece(m.encode())).tobytes() for m in matches]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Concatenation up the tree; join() does all levels at once."""
+        return b"".join(self.listed[ids].tolist())
+
+
+def uneven(text: str) -> bool:
+    """Whether ``text`` (not empty, its first space aside) has white space at an end, two in a row, or any but spaces and line feeds."""
+    return (
+        "  " in text or "\n" in text and ("\n\n" in text or "\n " in text or " \n" in text)
+        or text[-1] in " \n" or text[0] == "\n" or _ODD_WHITE.search(text) is not None
+    )
 
 
 def slices(text: str) -> Iterator[str]:
@@ -196,7 +228,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
-        for batch in batches:
+        for batch in chunks(batches, ROWS_AT_ONCE):
             coded = [coder.encode(t.as_py() or "") for t in batch.column(text_col)]
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -214,9 +246,9 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``df`` with ``decoded``, the bytes that its ``ids`` stand for (none for null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(path, pattern)
-        for batch in batches:
-            out = [coder.decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column("ids")]
+        coder, none = load(path, pattern), np.zeros(0, np.int32)
+        for batch in chunks(batches, ROWS_AT_ONCE):
+            out = [coder.decode(x.values.to_numpy() if x.is_valid else none) for x in batch.column("ids")]
             yield _with(batch, "decoded", pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, "decoded", T.BinaryType()))

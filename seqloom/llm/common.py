@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,13 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made from one stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class WordCache:
     """Values by word in two generations of ``limit`` entries, so that memory is bounded and common words stay."""
 
