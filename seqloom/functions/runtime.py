@@ -1,9 +1,10 @@
-"""Getting the package to where Python runs on the cluster."""
+"""Getting the package to where Python runs on the cluster, and shared space for what is written in between."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+_CHECKPOINT = "spark.checkpoint.dir"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that the whole cluster shares (``spark.checkpoint.dir``).
+
+    Only where that setting is missing, as in tests, a local temporary folder is chosen.
+    """
+    base = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
+        spark.conf.set(_CHECKPOINT, base)
+    return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
