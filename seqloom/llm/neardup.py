@@ -7,10 +7,11 @@ multisets, which is the plain Jaccard similarity where no shingle repeats. Bands
 Jaccard similarity of its texts is at least the threshold; classes are the connected components of links.
 
 Documents with equal multisets are collapsed first, so a group of copies of any size is one row from there on. A bucket of a band never emits all its
-pairs: first each document meets one leader, the least it shares any bucket with; pairs within a bucket are then only formed across classes not yet
-joined, must agree in registers as linked pairs do, and large buckets are split by a second band beforehand. Pairs of different texts that are linked
-within one class need not be compared; none across classes is left out but for what banding misses (about 3 in 100,000 at the
-threshold; with a second band 4 in 10,000, only for pairs that share nothing but crowded buckets).
+pairs: first each document meets one leader, the one with the fullest buckets among those it shares any with, then, while
+classes in a bucket are not joined yet, a few others; pairs within a bucket are then only formed across those classes, each pair once, must agree in registers
+as linked pairs do, and crowded buckets are worked through in blocks that give back only links that join classes. Pairs of different texts that are linked
+within one class need not be compared; none across classes is left out but for what banding and the registers miss (about 6 in 100,000 at the
+threshold, fewer above).
 
 Null and empty texts, and those of white space only, are alike to nothing: each is a class of its own. Rows that repeat a doc_id count as one document; rows
 with a null doc_id are left out. Very long texts are shingled in slices. Columns other than doc_id and text are not read. An empty table gives no rows.
@@ -24,16 +25,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import connected_components, keep
+from seqloom.llm.common import chunks, connected_components, keep
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 CROWDED = 100
+STARS = 1
+BLOCK_ROWS = 512
+ROWS_AT_ONCE = 500
 SLICE_WORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -136,7 +140,7 @@ def sketch(documents: DataFrame) -> DataFrame:
     kind = "doc_id long, same binary, bands array<long>, registers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, ROWS_AT_ONCE):
             same, bands, registers = [], [], []
             for text in batch.column(1):
                 hashes, counts = shingles(text.as_py() or "")
@@ -161,7 +165,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(maxsize=64)(shingles)
-        for batch in batches:
+        for batch in chunks(batches, ROWS_AT_ONCE):
             ok = [
                 probability_jaccard(shingles(ta.as_py()), cached(tb.as_py())) >= threshold
                 for ta, tb in zip(batch.column(2), batch.column(3))
@@ -172,9 +176,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return keep(both.mapInArrow(run, "a long, b long"))
 
 
+def _least_agreement(threshold: float) -> float:
+    return REGISTERS * threshold - 4 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+
+
 def _agreeing(pairs: DataFrame, threshold: float) -> DataFrame:
     """Drops pairs whose registers agree four standard deviations less than linked pairs' do."""
-    least = REGISTERS * threshold - 4 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+    least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +193,79 @@ def _agreeing(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _within(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links of crowded buckets that join classes, found in blocks of about BLOCK_ROWS by BLOCK_ROWS documents.
+
+    A block looks at pairs across classes that share no earlier bucket and whose registers agree well enough, best first, and passes over
+    pairs that links found before have joined. One minus the similarity is a metric (it is the chance that a register differs), so a pair whose distances
+    to one central document differ by more than a linked pair's can is ruled out without being compared.
+    """
+    least, reach = _least_agreement(threshold), 1 - threshold + 1e-9
+    many = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id"), many).cast("int")
+    rows = rows.select("bucket", "doc_id", "class", "central", "bands", "registers", "text", chunk.alias("k"), many.alias("m"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, "k").alias("i"), F.greatest(o, "k").alias("j"))))
+    spread = rows.select("*", pair.alias("p")).select("bucket", "doc_id", "class", "central", "bands", "registers", "text", "k", "p.i", "p.j")
+
+    def block(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, cls, k = (group.column(c).to_numpy() for c in ("doc_id", "class", "k"))
+        i, j, bucket = (group.column(c)[0].as_py() for c in ("i", "j", "bucket"))
+        found: list[tuple[int, int]] = []
+        if len(set(cls.tolist())) > 1:
+            bands = np.array(group.column("bands").to_pylist(), np.int64)
+            registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+            left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
+            near = (cls[left][:, None] != cls[right][None, :]) & (ids[left][:, None] > ids[right][None, :] if i == j else True)
+            agree = np.zeros(near.shape, np.int16)
+            for c in range(registers.shape[1]):
+                agree += registers[left, c][:, None] == registers[right, c][None, :]
+            near &= agree >= least
+            for c in range(bands.shape[1]):
+                near &= ~((bands[left, c][:, None] == bands[right, c][None, :]) & (bands[left, c] < bucket)[:, None])
+            x, y = np.nonzero(near)
+            if len(x):
+                order = np.argsort(-agree[x, y], kind="stable")
+                x, y = left[x[order]], right[y[order]]
+                text = group.column("text")
+                use = np.unique(np.concatenate([x, y]))
+                have = {int(u): shingles(text[int(u)].as_py()) for u in use}
+                pivot = have[int(use[np.argmax(group.column("central").to_numpy()[use])])]
+                far = np.zeros(len(ids))
+                far[use] = [1 - probability_jaccard(have[int(u)], pivot) for u in use]
+                ok = np.abs(far[x] - far[y]) <= reach
+                root = {int(c): int(c) for c in cls}
+
+                def find(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                    u, v = find(int(cls[p])), find(int(cls[q]))
+                    if u != v and probability_jaccard(have[p], have[q]) >= threshold:
+                        root[u] = v
+                        found.append((int(ids[p]), int(ids[q])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return keep(spread.groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long"))
+
+
+def _mixed(cells: DataFrame, part: DataFrame) -> DataFrame:
+    """The cells of buckets in which more than one class is left, with their classes."""
+    placed = cells.drop("class").join(part, F.col("doc_id") == F.col("id"), "left").withColumn("class", F.coalesce("component", "doc_id")).drop("id", "component")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    return keep(placed.join(mixed, "bucket", "left_semi"))
+
+
+def _star(cells: DataFrame, order: Column) -> DataFrame:
+    """One pair (a, b) for each document a: b leads by ``order`` among those of other classes that lead a bucket of a's."""
+    leads = F.max(F.struct(order.alias("o"), (-F.col("doc_id")).alias("d"), F.col("class").alias("c"))).alias("top")
+    seen = cells.select("bucket", "doc_id", "class").join(cells.groupBy("bucket").agg(leads), "bucket").where("top.c <> class")
+    return seen.groupBy("doc_id").agg(F.max("top").alias("top")).select(F.col("doc_id").alias("a"), (-F.col("top.d")).alias("b"))
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept), one row per doc_id: class_id is the least doc_id of the class, and that document is kept."""
     sketches = keep(sketch(documents))
@@ -193,36 +274,32 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = known.groupBy("same").agg(F.min("doc_id").alias("rep"))
     member = keep(known.select("doc_id", "same").join(groups, "same").select("doc_id", "rep"))
     reps = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # buckets that more than one representative shares
+    # buckets that more than one representative shares; a document is central if its buckets are full
     cells = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    cells = keep(cells.join(shared, "bucket").select("bucket", "doc_id", "leader", "n"))
-    wanted = cells.select("doc_id").distinct()
+    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    cells = keep(cells.join(shared, "bucket").select("bucket", "doc_id", "n"))
+    central = cells.groupBy("doc_id").agg(F.sum("n").alias("central"))
     texts = keep(
-        documents.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        documents.select(F.col("doc_id").cast("long"), "text").join(central.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     )
-    # every document against the least leader
-    star = cells.groupBy("doc_id").agg(F.min("leader").alias("b")).where("b < doc_id").select(F.col("doc_id").alias("a"), "b")
-    links = _verify(star, texts, threshold)
-    # what is left across classes
+    cells = keep(cells.join(central, "doc_id").withColumn("class", F.col("doc_id")))
+    # every document against one leader: first the most central, then, across classes, others
+    links = _verify(_star(cells, F.col("central")), texts, threshold)
+    for seed in range(STARS):
+        rest = _mixed(cells, connected_components(links))
+        links = links.unionByName(_verify(_star(rest, F.xxhash64("doc_id", F.lit(seed))), texts, threshold))
+    # what is left across classes: every pair once, in the first bucket that it shares
+    rest = _mixed(cells, connected_components(links))
+    rows = rest.join(reps.select("doc_id", "bands", "registers"), "doc_id")
+    roomy = rows.where(F.col("n") <= CROWDED)
+    one = roomy.select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("bands").alias("ba"), F.col("registers").alias("ra"))
+    two = roomy.select(F.col("bucket").alias("k"), F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("bands").alias("bb"), F.col("registers").alias("rb"))
+    once = F.array_min(F.array_intersect("ba", "bb")) == F.col("bucket")
+    across = one.join(two, (F.col("bucket") == F.col("k")) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & once)
+    more = _verify(_agreeing(across, threshold), texts, threshold)
+    crowded = _within(rows.where(F.col("n") > CROWDED).join(texts, "doc_id"), threshold)
+    links = links.unionByName(more).unionByName(crowded)
     part = connected_components(links)
-    placed = cells.join(part, cells["doc_id"] == part["id"], "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("class"), "n"
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    rest = keep(placed.join(mixed, "bucket", "left_semi"))
-    details = reps.select("doc_id", "bands", "registers")
-    rows = rest.join(details, "doc_id")
-    roomy = rows.where(F.col("n") <= CROWDED).select("bucket", "doc_id", "class", "registers")
-    crowded = rows.where(F.col("n") > CROWDED).select(
-        "bucket", "doc_id", "class", "registers", F.explode("bands").alias("second")
-    ).where("second <> bucket").select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "doc_id", "class", "registers")
-    rows = roomy.unionByName(crowded.dropDuplicates(["bucket", "doc_id"]))
-    one = rows.select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("registers").alias("ra"))
-    two = rows.select("bucket", F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("registers").alias("rb"))
-    across = one.join(two, "bucket").where("a > b and ca <> cb")
-    more = _verify(_agreeing(across, threshold).distinct(), texts, threshold)
-    part = connected_components(links.unionByName(more))
     found = member.join(part, member["rep"] == part["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = sketches.where("same is null").select("doc_id", F.col("doc_id").alias("class_id"))
     every = found.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
