@@ -17,14 +17,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqloom.llm.common import labelled_sample
+from seqloom.llm.common import chunks, labelled_sample
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -32,16 +30,21 @@ WINDOW = 50
 LEAST_DOCUMENTS = 3
 #: Of one document, evenly spread, while learning; scoring reads them all.
 TEACHING_SENTENCES = 500
+ROWS_AT_ONCE = 500
+SCALES = (0.8, 1.0, 1.2, 1.5, 1.8, 2.2, 2.6, 3.0)
+SHIFTS = tuple(np.arange(-4, 6.1, 0.5))
 KNOWN_WORDS = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    """Hashed features: the word, and its beginnings, which inflected and compounded forms share."""
+    """Hashed features: the word, and its beginnings, which inflected and compounded forms share.
+
+    A word too short for some beginning stands for it itself, so that shrinking weighs equally on all words.
+    """
     mask = (1 << BITS) - 1
-    b = word.encode()
-    return [zlib.crc32(b) & mask, *(zlib.crc32(word[:n].encode(), n) & mask for n in PREFIXES if len(word) > n)]
+    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32((word[:n] if len(word) > n else word + "$").encode(), n) & mask for n in PREFIXES)]
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -97,68 +100,105 @@ class Model:
         return float(-np.expm1(-silent)), [(*spans[i], float(x)) for i, x in zip(found, p)]
 
 
-def _bags(sample: DataFrame) -> pd.DataFrame:
-    """The bounded sample as hashed features: (label, features of all sentences one after another, how many in each)."""
+@dataclass
+class Bags:
+    """A bounded sample: labels, the words of all sentences one after another, how many in each, how many sentences in each document."""
+
+    label: np.ndarray
+    word: np.ndarray
+    words_in: np.ndarray
+    sentences_in: np.ndarray
+    vocabulary: list[str]
+
+
+def _bags(sample: DataFrame) -> Bags:
+    """Documents as word numbers; the driver gets every document's distinct words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feats, counts = [], []
+        for batch in chunks(batches, ROWS_AT_ONCE):
+            words, numbers, counts = [], [], []
             for text in batch.column(1):
-                f, n = [], []
-                bags = [words for _, _, words in sentences(text.as_py())]
-                for words in bags[:: -(-len(bags) // TEACHING_SENTENCES) or 1]:
-                    own = set(chain.from_iterable(map(features, set(words))))
-                    f.extend(own)
-                    n.append(len(own))
-                feats.append(np.array(f, np.int32))
-                counts.append(np.array(n, np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, kind), pa.array(counts, kind)], names=["label", "f", "n"])
-
-    out = sample.select("label", "text").mapInArrow(run, "label int, f array<int>, n array<int>")
-    return out.toPandas()
-
-
-def fit(bags: pd.DataFrame, prior: dict[int, int], epochs: int = 60, rate: float = 0.1, ridge: float = 0.03) -> Model:
+                own: dict[str, int] = {}
+                said = [set(w) for _, _, w in sentences(text.as_py())]
+                said = said[:: -(-len(said) // TEACHING_SENTENCES) or 1]
+                numbers.append([own.setdefault(w, len(own)) for s in said for w in sorted(s)])
+                counts.append([len(s) for s in said])
+                words.append(list(own))
+            ints = pa.list_(pa.int32())
+            columns = [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(numbers, ints), pa.array(counts, ints)]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "w", "i", "n"])
+
+    got = sample.select("label", "text").mapInArrow(run, "label int, w array<string>, i array<int>, n array<int>").toArrow()
+    if not got.num_rows:
+        return Bags(*(np.zeros(0, np.int32) for _ in range(4)), [])
+    w, i, n = (got.column(c).combine_chunks() for c in ("w", "i", "n"))
+    coded = w.flatten().dictionary_encode()
+    start = np.repeat(np.cumsum(w.value_lengths().to_numpy()) - w.value_lengths().to_numpy(), i.value_lengths().to_numpy())
+    word = coded.indices.to_numpy()[start + i.flatten().to_numpy()]
+    return Bags(got.column("label").to_numpy(), word, n.flatten().to_numpy(), n.value_lengths().to_numpy(), coded.dictionary.to_pylist())
+
+
+def fit(bags: Bags, prior: dict[int, int], epochs: int = 100, rate: float = 0.1, ridge: float = 0.03) -> Model:
     """Maximum likelihood of the documents' labels under noisy-or, by full-batch Adam."""
     weights = np.zeros(1 << BITS)
-    y = bags["label"].to_numpy()
-    if len(bags) == 0 or y.min() == y.max():
+    y = bags.label
+    if len(y) == 0 or y.min() == y.max():
         return Model(weights.astype(np.float32), -20.0, False)
-    feats = np.concatenate([np.asarray(x, np.int32) for x in bags["f"]])
-    sizes = [np.asarray(x, np.int32) for x in bags["n"]]
-    doc_of_sentence = np.repeat(np.arange(len(bags)), [len(x) for x in sizes])
-    lengths = np.concatenate(sizes)
-    n_sentences = len(lengths)
-    sentence_of = np.repeat(np.arange(n_sentences, dtype=np.int32), lengths)
-    doc_of = doc_of_sentence[sentence_of]
-    pairs = np.unique(doc_of.astype(np.int64) << BITS | feats)
-    common = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= LEAST_DOCUMENTS
-    use = common[feats]
-    feats, sentence_of = feats[use], sentence_of[use]
-    known, column = np.unique(feats, return_inverse=True)
+    made = np.array([features(w) for w in bags.vocabulary], np.int32)
+    n_sentences = len(bags.words_in)
+    doc_of_sentence = np.repeat(np.arange(len(y)), bags.sentences_in)
+    sentence_of = np.repeat(np.arange(n_sentences), bags.words_in)
+    seen = np.zeros(1 << BITS, np.int32)
+    of_doc = np.split(bags.word, np.cumsum(np.bincount(doc_of_sentence, bags.words_in, len(y)).astype(int))[:-1])
+    for words in of_doc:
+        seen[np.unique(made[np.unique(words)])] += 1
+    known = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+    column_of = np.full(1 << BITS, len(known))  # the last column stands for all rare features and keeps weight 0
+    column_of[known] = np.arange(len(known))
+    column = column_of[made]
+
+    def per_sentence(w: np.ndarray) -> np.ndarray:
+        of_word = np.append(w, 0.0)[column].sum(1)
+        return np.bincount(sentence_of, of_word[bags.word], n_sentences)
+
     share = np.array([prior.get(v, 1) for v in (0, 1)], float) / np.maximum(np.bincount(y, minlength=2), 1)
     weight = share[y] / share[y].mean() / len(y)
+    # a fifth of the documents is left to set scale and threshold, which shrinking has moved
+    aside = (np.arange(len(y)) % 5 == 4) if len(y) >= 100 else np.zeros(len(y), bool)
+    weight, check = np.where(aside, 0, weight), weight
+
     w, b = np.zeros(len(known)), -5.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = b + np.bincount(sentence_of, w[column], n_sentences)
+        z = b + per_sentence(w)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        silent = np.bincount(doc_of_sentence, np.logaddexp(0, z), len(bags)) + 1e-9
+        silent = np.bincount(doc_of_sentence, np.logaddexp(0, z), len(y)) + 1e-9
         d = np.where(y == 1, -1 / np.expm1(np.minimum(silent, 50)), 1.0) * weight
         g = d[doc_of_sentence] * p
-        gw = np.bincount(column, g[sentence_of], len(known)) + ridge * w / len(y) * 10
+        of_word = np.bincount(bags.word, g[sentence_of], len(column))
+        gw = np.bincount(column.ravel(), np.repeat(of_word, column.shape[1]), len(known) + 1)[:-1] + ridge * w / len(y) * 10
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-7)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
+    if aside.any() and len(set(y[aside])) == 2:
+        z = per_sentence(w)
+        use = aside[doc_of_sentence]
+        z, doc = z[use], doc_of_sentence[use]
+
+        def loss(scale: float, shift: float) -> float:
+            silent = np.bincount(doc, np.logaddexp(0, scale * z + shift), len(y))[aside] + 1e-9
+            return float((np.where(y[aside] == 1, -np.log(-np.expm1(-silent)), silent) * check[aside]).sum())
+
+        _, scale, b = min((loss(c, c * b + d), c, c * b + d) for c in SCALES for d in SHIFTS)
+        w = w * scale
     weights[known] = np.where(np.abs(w) < 0.02, 0, w)
     return Model(weights.astype(np.float32), float(b), True)
 
 
-def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2500) -> Model:
+def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 1500) -> Model:
     sample, prior = labelled_sample(documents, labels, target, per_class)
     return fit(_bags(sample), prior)
 
