@@ -44,7 +44,7 @@ def speedup(throughput: DataFrame) -> DataFrame:
 def benchmark_means(results: DataFrame) -> DataFrame:
     """(compressor, partition_size, n_runs, ratio, speed) from rows (name, ratio, speed) whose name is dataset/compressor/size/mode; runs without random access and malformed names don't count."""
     parts = F.split("name", "/")
-    rows = results.where((F.size(parts) >= 4) & (F.get(parts, 3) != "RA_Disabled")).select(
+    rows = results.where((F.size(parts) >= 4) & ~F.contains(F.get(parts, F.lit(3)), F.lit("RA_Disabled"))).select(
         F.get(parts, 1).alias("compressor"), F.expr("try_cast(get(split(name, '/'), 2) as bigint)").alias("partition_size"), "ratio", "speed"
     )
     return rows.where("partition_size is not null").groupBy("compressor", "partition_size").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scalar_model import optimal
 
 from seqloom.operators import access, blocks, codec, gaps, packed, rank, sizes, split
-from seqloom.sources import binary, store
+from seqloom.sources import binary, results, store
 from seqloom.streaming import append
 
 SHAPES = {
@@ -199,3 +199,13 @@ def test_stream_appends_blocks(spark, tmp_path):
 def test_totals(spark):
     choice = split.two_way_optimal(blocks.frame(make(spark, range(1000)), 4096))
     assert sizes.total(choice).first() == (1000, 1, 575 + 16)
+
+
+def test_benchmark_files(spark, tmp_path):
+    import json
+
+    runs = [("a/x/1000/RA_Enabled", 0.5, 2), ("b/x/1000/RA_Enabled", 0.7, 4), ("c/x/1000/RA_Enabled", None, 9), ("a/x/1000/RA_Disabled_x", 9, 9), ("a/x/many/RA_Enabled", 9, 9), ("short", 9, 9)]
+    for i in range(2):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"context": {}, "benchmarks": [{"name": n, "CompressionRatio": c, "bytes_per_second": s * 2**20} for n, c, s in runs[i::2]]}, indent=1))
+    (tmp_path / "other.txt").write_text("no json")
+    assert [tuple(r) for r in sizes.benchmark_means(results.read(spark, str(tmp_path))).collect()] == [("x", 1000, 2, 60.0, 3.0)]
