@@ -14,6 +14,8 @@ replaced. Very long texts are searched with possessive patterns, which neither b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +44,43 @@ def _running(lengths: Column) -> Column:
     return F.aggregate(lengths, start, step, lambda a: a["out"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(lengths: Column) -> Column:
-    """The same for long arrays, by blocks, as appending copies an array."""
+    """The same for long arrays, by blocks, as appending copies an array. ``lengths`` should be bound by let()."""
     count = F.ceil(F.size(lengths) / F.lit(_BLOCK)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    offsets = _running(sums)
-    long = F.flatten(F.transform(blocks, lambda b, i: F.transform(_running(b), lambda v: v + F.get(offsets, i))))
-    return F.when(F.size(lengths) <= _BLOCK, _running(lengths)).otherwise(long)
+
+    def join(parts: Column) -> Column:
+        sums = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return let(_running(sums), lambda offsets: F.flatten(F.transform(parts, lambda b, i: let(F.get(offsets, i), lambda o: F.transform(_running(b), lambda v: v + o)))))
+
+    return F.when(F.size(lengths) <= _BLOCK, _running(lengths)).otherwise(let(blocks, join))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """(start, end, value) of every match, leftmost first, not overlapping: what lies between them gives the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    lengths = F.transform(found, lambda m, i: F.length(m) + F.get(between, i))
-    before = running(lengths)
-    spans = F.transform(
-        found,
-        lambda m, i: F.struct(
-            (F.get(before, i) + F.get(between, i)).alias("start"),
-            (F.get(before, i) + F.get(between, i) + F.length(m)).alias("end"),
-            m.alias("value"),
-        ),
-    )
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_FOUND))
+
+    def place(m: Column, b: Column) -> Column:
+        lengths = F.transform(m, lambda x, i: F.length(x) + F.get(b, i))
+        before = let(lengths, running)
+        return let(
+            before,
+            lambda at: F.transform(
+                m,
+                lambda x, i: let(
+                    F.get(at, i) + F.get(b, i),
+                    lambda start: F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("value")),
+                ),
+            ),
+        )
+
+    return let(found, lambda m: F.when(F.size(m) > 0, let(between, lambda b: place(m, b))).otherwise(F.array().cast(_FOUND)))
 
 
 def _digits(value: Column) -> Column:
@@ -121,6 +135,9 @@ def _near(text: Column, entities: Column) -> Column:
         from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
         before = F.lower(F.substring(text, from_ + 1, x["start"] - from_))
         after = F.lower(F.substring(text, x["end"] + 1, F.lit(CONTEXT)))
+        return let(F.struct(before.alias("b"), after.alias("a")), lambda c: words(x, from_, c["b"], c["a"]))
+
+    def words(x: Column, from_: Column, before: Column, after: Column) -> Column:
         context = F.xxhash64(before, after)
         left = F.filter(matches(before, r"\p{L}++"), lambda w: (w["start"] > 0) | (from_ == 0))
         right = F.filter(matches(after, r"\p{L}++"), lambda w: (w["end"] < CONTEXT))
