@@ -42,3 +42,40 @@ def unary_bits(encoded: DataFrame, way: int) -> DataFrame:
     coded = encoded.where("gap is not null").select("part", "i", F.explode(F.concat(F.array_repeat(F.lit(1), size.cast("int")), F.array(F.lit(0)))).alias("bit"), size.alias("s"))
     before = F.row_number().over(W.partitionBy("part").orderBy("i", F.desc("bit")))
     return coded.select("part", (before - 1).cast("bigint").alias("pos"), F.col("bit").cast("bigint").alias("bit"))
+
+
+def get(bits: DataFrame, pos: int, n: int) -> DataFrame:
+    """(part, bit) at one place of vectors of n bits."""
+    if not 0 <= pos < n:
+        raise IndexError("place out of bounds")
+    return bits.where(F.col("pos") == pos).select("part", "bit")
+
+
+def set_bits(bits: DataFrame, start: int, value: int, width: int, n: int) -> DataFrame:
+    """``bits`` with ``width`` places from ``start`` on set to the bits of ``value``, least significant first."""
+    if not 0 <= width <= 64:
+        raise ValueError("at most 64 bits at once")
+    if start < 0 or start + width > n:
+        raise IndexError("range out of bounds")
+    if value >= 1 << 63:
+        value -= 1 << 64
+    inside = (F.col("pos") >= start) & (F.col("pos") < start + width)
+    own = F.call_function("shiftrightunsigned", F.lit(value).cast("bigint"), F.greatest(F.col("pos") - start, F.lit(0)).cast("int")).bitwiseAND(F.lit(1))
+    return bits.select("part", "pos", F.when(inside, own).otherwise(F.col("bit")).cast("bigint").alias("bit"))
+
+
+def set_range(bits: DataFrame, start: int, end: int, bit: int, n: int) -> DataFrame:
+    """``bits`` with places [start, end) set to ``bit``."""
+    if not 0 <= start <= end <= n:
+        raise IndexError("range out of bounds")
+    inside = (F.col("pos") >= start) & (F.col("pos") < end)
+    return bits.select("part", "pos", F.when(inside, F.lit(bit)).otherwise(F.col("bit")).cast("bigint").alias("bit"))
+
+
+def from_packed(blocks: DataFrame, column: str, n: str) -> DataFrame:
+    """(part, pos, bit) of a packed bit column; bits are numbered from the least significant of the first byte on."""
+    pos = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("pos")
+    rows = blocks.where(F.col(n) > 0).select("part", F.hex(column).alias("x"), pos)
+    byte = F.conv(F.substring("x", (F.floor(F.col("pos") / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+    bit = F.call_function("shiftright", byte, (F.col("pos") % 8).cast("int")).bitwiseAND(F.lit(1))
+    return rows.select("part", "pos", bit.cast("bigint").alias("bit"))

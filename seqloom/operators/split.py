@@ -198,7 +198,11 @@ def classic(stats: DataFrame) -> DataFrame:
     tb = F.col("total_bits")
     mean = F.expr("cast((max - base + 1) div n as bigint)")
     b = F.when(mean <= 1, F.lit(0)).otherwise(F.least(tb, (bm.bit_length(mean) - 1).cast("bigint"))).cast("bigint")
-    return stats.select("part", "n", "total_bits", b.alias("b"), (tb - b).alias("h"))
+    chosen = stats.withColumn("b", b)
+    # one bit for each element, one for each step of the high part, and a word of padding
+    unary = F.col("n") + bm.high(F.col("max") - F.col("base"), F.col("b")) + 64
+    size = bm.to_bytes(F.col("n") * F.col("b")) + bm.to_bytes(unary) + bm.ELEMENT_BYTES + bm.BLOCK_FIELDS["classic"]
+    return chosen.select("part", "n", "total_bits", "b", (tb - F.col("b")).alias("h"), size.cast("bigint").alias("theoretical_bytes"))
 
 
 CHOOSERS = {

@@ -202,7 +202,7 @@ SQL: dict[str, str] = {
     **{f"split_{k}": SPLITS[v](CENTS) for k, v in (("rle", "rle_optimal"), ("u_optimal", "u_optimal"), ("u_approx", "u_approximate"), ("b_optimal", "b_optimal"), ("b_approx", "b_approximate"), ("bstar_optimal", "bstar_optimal"), ("bstar_approx", "bstar_approximate"))},
     **{f"split_{k}_times": SPLITS[v](TIMES) for k, v in (("rle", "rle_optimal"), ("u_optimal", "u_optimal"), ("u_approx", "u_approximate"), ("b_optimal", "b_optimal"), ("b_approx", "b_approximate"), ("bstar_optimal", "bstar_optimal"), ("bstar_approx", "bstar_approximate"))},
     "split_ship_days": split_bstar_optimal(SHIP_DAYS),
-    "split_classic": f"WITH {frame(TIMES)}, q AS (SELECT *, CAST({CLASSIC} AS BIGINT) AS b FROM m) SELECT part, n, tb AS total_bits, b, tb - b AS h FROM q",
+    "split_classic": f"WITH {frame(TIMES)}, q AS (SELECT *, CAST({CLASSIC} AS BIGINT) AS b FROM m) SELECT part, n, tb AS total_bits, b, tb - b AS h, CAST({bytes_('n * b')} + {bytes_('n + ((mx - base) >> CAST(b AS INT)) + 64')} + 17 AS BIGINT) AS theoretical_bytes FROM q",
     "cost_sweep_bstar": f"WITH {frame(CENTS)}, {counters('none', every())} SELECT part, b, CAST({COST_S} AS BIGINT) AS cost FROM c",
     "cost_sweep_b": f"WITH {frame(CENTS)}, {counters('two', every())} SELECT part, b, CAST({COST_B} AS BIGINT) AS cost FROM c",
     "cost_sweep_u": f"WITH {frame(CENTS)}, {counters('one', every())} SELECT part, b, CAST(least({COST_U}, {COST_UR}) AS BIGINT) AS cost FROM c",
@@ -237,6 +237,9 @@ SQL: dict[str, str] = {
     "bv_select1": f"{BITS} SELECT part, row_number() OVER (PARTITION BY part ORDER BY pos) AS k, pos FROM t WHERE bit = 1",
     "bv_select0": f"{BITS} SELECT part, row_number() OVER (PARTITION BY part ORDER BY pos) AS k, pos FROM t WHERE bit = 0",
     "bv_cumgap": f"""WITH {encoded(CENTS, split_bstar_optimal(CENTS), EXC['bstar'])} SELECT part, i + 1 AS k, CAST(sum(greatest(g, 0)) OVER (PARTITION BY part ORDER BY i) AS BIGINT) AS cumgap FROM z WHERE h > 0""",
+    "bv_get": f"{BITS} SELECT part, bit FROM t WHERE pos % 4096 = 77 AND part = 0",
+    "bv_set": f"{BITS} SELECT part, pos, CASE WHEN pos >= 8 AND pos < 20 THEN (2741 >> CAST(pos - 8 AS INT)) & 1 WHEN pos >= 100 AND pos < 150 THEN 1 ELSE bit END AS bit FROM t",
+    "bv_from_packed": f"WITH {encoded(CENTS, split_b_optimal(CENTS), EXC['b'])} SELECT part, i AS pos, CAST(is_exception AS BIGINT) AS bit FROM z WHERE h > 0",
     "limit_read": _plain(CENTS, "pos < 500"),
     "numbered_positions": _plain(SHIP_DAYS),
     "drift_source": "SELECT i AS pos, CAST(CASE WHEN i % 13 = 0 THEN 42 ELSE i // 3 - 2 * (i // 7) END AS BIGINT) AS value FROM range(1000) t(i)",

@@ -368,6 +368,22 @@ def bv_cumgap(s, d):
     return rank.cumulative_gap(rank.unary_bits(_encoded(s, d, "bstar"), 1))
 
 
+@query
+def bv_get(s, d):
+    return rank.get(_bits(s, d).where("part = 0"), 77, SIZE)
+
+
+@query
+def bv_set(s, d):
+    n = cents(s, d).count()
+    return rank.set_range(rank.set_bits(_bits(s, d), 8, 2741, 12, n), 100, 150, 1, n)
+
+
+@query
+def bv_from_packed(s, d):
+    return rank.from_packed(packed.encode(cents(s, d), "b", SIZE).where("h > 0"), "flags", "n")
+
+
 @query
 def limit_read(s, d):
     return cents(s, d).where(F.col("pos") < 500)

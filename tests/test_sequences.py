@@ -209,3 +209,16 @@ def test_benchmark_files(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps({"context": {}, "benchmarks": [{"name": n, "CompressionRatio": c, "bytes_per_second": s * 2**20} for n, c, s in runs[i::2]]}, indent=1))
     (tmp_path / "other.txt").write_text("no json")
     assert [tuple(r) for r in sizes.benchmark_means(results.read(spark, str(tmp_path))).collect()] == [("x", 1000, 2, 60.0, 3.0)]
+
+
+def test_setting_bits(spark):
+    bits = spark.createDataFrame([(0, i, 0) for i in range(70)], "part long, pos long, bit long")
+    read = lambda df: [r["bit"] for r in df.orderBy("pos").collect()]
+    assert read(rank.set_bits(bits, 3, 2**64 - 1, 64, 70)) == [0] * 3 + [1] * 64 + [0] * 3
+    assert read(rank.set_range(bits, 1, 4, 1, 70))[:5] == [0, 1, 1, 1, 0]
+    assert rank.get(bits, 69, 70).first()["bit"] == 0
+    for wrong in (lambda: rank.set_bits(bits, 10, 1, 61, 70), lambda: rank.set_range(bits, 5, 71, 1, 70), lambda: rank.get(bits, 70, 70)):
+        with pytest.raises(IndexError):
+            wrong()
+    with pytest.raises(ValueError):
+        rank.set_bits(bits, 0, 1, 65, 70)
