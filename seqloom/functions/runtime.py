@@ -39,4 +39,7 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set(_CHECKPOINT, base)
+    # with its scheme, so that code outside Spark means the same place
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
