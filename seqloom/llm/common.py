@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.runtime import ship
-
-_CHECKPOINT = "spark.checkpoint.dir"
-
+from seqloom.functions.runtime import scratch, ship
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that the whole cluster shares (``spark.checkpoint.dir``).
-
-    Only where that setting is missing, as in tests, a local temporary folder is chosen.
-    """
-    base = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set(_CHECKPOINT, base)
-    return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in shared scratch space and returns what was written.
 
@@ -75,7 +57,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has long columns a and b. Alternates the large-star and small-star steps, which need a logarithmic number
     of rounds whatever the shape. Each step reduces with a partial ``min`` before its shuffle and joins on a key whose
-    hot side Spark can split, and each round is written to shared scratch space.
+    hot side Spark can split, as the other side is a written table; each round is written to shared scratch space.
     """
     now = keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -85,9 +67,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if size[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = keep(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(

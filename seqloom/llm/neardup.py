@@ -255,14 +255,15 @@ def _within(rows: DataFrame, threshold: float) -> DataFrame:
 def _mixed(cells: DataFrame, part: DataFrame) -> DataFrame:
     """The cells of buckets in which more than one class is left, with their classes."""
     placed = cells.drop("class").join(part, F.col("doc_id") == F.col("id"), "left").withColumn("class", F.coalesce("component", "doc_id")).drop("id", "component")
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = keep(placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket"))
     return keep(placed.join(mixed, "bucket", "left_semi"))
 
 
 def _star(cells: DataFrame, order: Column) -> DataFrame:
     """One pair (a, b) for each document a: b leads by ``order`` among those of other classes that lead a bucket of a's."""
     leads = F.max(F.struct(order.alias("o"), (-F.col("doc_id")).alias("d"), F.col("class").alias("c"))).alias("top")
-    seen = cells.select("bucket", "doc_id", "class").join(cells.groupBy("bucket").agg(leads), "bucket").where("top.c <> class")
+    tops = keep(cells.groupBy("bucket").agg(leads))
+    seen = cells.select("bucket", "doc_id", "class").join(tops, "bucket").where("top.c <> class")
     return seen.groupBy("doc_id").agg(F.max("top").alias("top")).select(F.col("doc_id").alias("a"), (-F.col("top.d")).alias("b"))
 
 
@@ -271,12 +272,13 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketches = keep(sketch(documents))
     # equal multisets
     known = sketches.where("same is not null")
-    groups = known.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    member = keep(known.select("doc_id", "same").join(groups, "same").select("doc_id", "rep"))
-    reps = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    copied = keep(known.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"))
+    member = keep(known.select("doc_id", "same").join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep")))
+    others = member.where("doc_id <> rep").select("doc_id").distinct()
+    reps = known.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     # buckets that more than one representative shares; a document is central if its buckets are full
     cells = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     cells = keep(cells.join(shared, "bucket").select("bucket", "doc_id", "n"))
     central = cells.groupBy("doc_id").agg(F.sum("n").alias("central"))
     texts = keep(
