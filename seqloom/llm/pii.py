@@ -32,6 +32,7 @@ CONTEXT = 80
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 _BLOCK = 256
+_CHUNK = 4096
 _FOUND = "array<struct<start:int,end:int,value:string>>"
 _NEAR = "array<struct<kind:string,value:string,term:string,start:int,end:int,context:bigint>>"
 
@@ -129,12 +130,21 @@ def _entities() -> Column:
 
 
 def _near(text: Column, entities: Column) -> Column:
-    """Every whole word (letters only) within CONTEXT of an entity, with the entity and a hash of what stands around it."""
+    """Every whole word (letters only) within CONTEXT of an entity, with the entity and a hash of what stands around it.
 
-    def of(x: Column) -> Column:
+    Contexts are cut from overlapping chunks, as finding a place in a text takes as long as the text before it.
+    """
+    chunk = F.length(text) / F.lit(_CHUNK)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(chunk).cast("int")), lambda c: F.substring(text, _origin(c) + 1, F.lit(_CHUNK + 2 * CONTEXT)))
+
+    def cut(parts: Column, start: Column, length: Column, anchor: Column) -> Column:
+        c = F.floor(anchor / _CHUNK).cast("int")
+        return F.lower(F.substring(F.get(parts, c), start - _origin(c) + 1, length))
+
+    def of(parts: Column, x: Column) -> Column:
         from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.lower(F.substring(text, from_ + 1, x["start"] - from_))
-        after = F.lower(F.substring(text, x["end"] + 1, F.lit(CONTEXT)))
+        before = cut(parts, from_, x["start"] - from_, x["start"])
+        after = cut(parts, x["end"], F.lit(CONTEXT), x["end"])
         return let(F.struct(before.alias("b"), after.alias("a")), lambda c: words(x, from_, c["b"], c["a"]))
 
     def words(x: Column, from_: Column, before: Column, after: Column) -> Column:
@@ -147,7 +157,12 @@ def _near(text: Column, entities: Column) -> Column:
         )
         return F.concat(F.transform(left, word(from_)), F.transform(right, word(x["end"])))
 
-    return F.when(F.size(entities) > 0, F.flatten(F.transform(entities, of))).otherwise(F.array().cast(_NEAR))
+    found = let(chunks, lambda parts: F.flatten(F.transform(entities, lambda x: of(parts, x))))
+    return F.when(F.size(entities) > 0, found).otherwise(F.array().cast(_NEAR))
+
+
+def _origin(c: Column) -> Column:
+    return F.greatest(c * _CHUNK - CONTEXT, F.lit(0))
 
 
 def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -227,9 +242,11 @@ def _clean(text: Column) -> Column:
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """``documents`` with every entity replaced by its kind and every disclosing term generalised or removed."""
-    found = find(documents)
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_whole"), "text")
+    found = find(whole)
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     merged, text = _clean(F.col("text"))
     clean = found.where(~some)
     changed = found.where(some).withColumn("_spans", merged).withColumn("text", text)
-    return clean.select(*documents.columns).unionByName(changed.select(*documents.columns))
+    columns = [F.col("text") if c == "text" else F.col("_whole").getField(c).alias(c) for c in documents.columns]
+    return clean.select(*columns).unionByName(changed.select(*columns))

@@ -361,7 +361,8 @@ def test_disclosing_terms_match_counts(spark):
 
 def test_sanitised_texts(spark):
     rows = [(1, "mail bob@x.org or +1 (222) 555-1234, card 4111 1111 1111 1111; ip 10.0.0.1.", "l", "s", 3), *ODD]
-    out = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows).withColumn("row", F.lit(7))).drop("row").collect() if r["doc_id"] != 99}
+    out = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows).withColumn("row", F.lit(7)).withColumn("email", F.lit("mine"))).collect()}
+    assert {(r["row"], r["email"]) for r in out.values()} == {(7, "mine")}
     assert out[1]["text"].startswith("mail [EMAIL] or [PHONE], card [CARD]; ip [IP].")
     assert out[2]["text"] == "" and out[4]["text"] == ODD[-1][1]
 
