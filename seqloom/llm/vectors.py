@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.llm.common import connected_components, keep
 
@@ -25,8 +25,9 @@ SLACK = 1e-4
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): one row per id that takes part, v as array of double."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v): one row per id that takes part, v as array of float or, from other types, of double."""
+    single = table.schema[vector_col].dataType == T.ArrayType(T.FloatType(), table.schema[vector_col].dataType.containsNull)
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     nonzero = F.exists("v", lambda x: x != 0)
@@ -41,7 +42,7 @@ def most_common_length(rows: DataFrame) -> int:
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     flat = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
 def collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
