@@ -105,8 +105,8 @@ def write(marked: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return keep(marked.select("page_id", "url", "html", "digest", "first").mapInArrow(run, "file string, bytes long, records long"))
 
 
-def _inflate(file: pa.NativeFile, at: int, enough: int | None = None, chunk: int = 1 << 16) -> bytes | None:
-    """What the gzip member at ``at`` holds, or its first ``enough`` bytes; None if it isn't a whole member."""
+def _inflate(file: pa.NativeFile, at: int, enough: int | None = None, chunk: int = 1 << 16) -> tuple[bytes, int] | None:
+    """What the gzip member at ``at`` holds, or its first ``enough`` bytes, and where reading ended; None if it isn't a whole member."""
     unpack, out, size = zlib.decompressobj(31), [], 0
     while not unpack.eof and (enough is None or size < enough):
         data = file.read_at(chunk, at)
@@ -121,7 +121,7 @@ def _inflate(file: pa.NativeFile, at: int, enough: int | None = None, chunk: int
         if enough is not None and not unpack.eof and size == 0:
             continue
         chunk = min(2 * chunk, 1 << 22)
-    return b"".join(out)
+    return b"".join(out), at - len(unpack.unused_data)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -144,18 +144,20 @@ def records_in(file: pa.NativeFile, size: int, start: int, stop: int, window: in
     at = start
     while at < min(stop, size):
         data = file.read_at(min(window, min(stop, size) - at) + len(MAGIC) - 1, at)
-        found = data.find(MAGIC)
+        found, after = data.find(MAGIC), at + window
         while found >= 0:
-            place = at + found
+            place, on = at + found, found + 1
             if place >= stop:
                 return
             head = _inflate(file, place, 7, 256)
-            if head is not None and head.startswith(b"WARC/1."):
+            if head is not None and head[0].startswith(b"WARC/1."):
                 whole = _inflate(file, place)
-                if whole is not None and (record := parse(whole)):
+                if whole is not None and (record := parse(whole[0])):
                     yield place, *record
-            found = data.find(MAGIC, found + 1)
-        at += window
+                    on = whole[1] - at  # what a record holds is not searched
+                    after = max(after, whole[1])
+            found = data.find(MAGIC, on)
+        at = after
 
 
 def _rows_in(fs: pafs.FileSystem, path: str, shown: str, size: int, start: int, stop: int, payload: bool) -> Iterator[tuple]:

@@ -204,6 +204,9 @@ def test_magic_inside_a_record_is_no_record(tmp_path):
     size = path.stat().st_size
     with fs.open_input_file(p) as f:
         found = [r for a in range(0, size, 50) for r in warc.records_in(f, size, a, a + 50)]
+    with fs.open_input_file(p) as f:
+        whole = list(warc.records_in(f, size, 0, size))
+    assert [(r[1]["x-page-id"], r[2]) for r in whole] == [("1", inner), ("2", b"second")]
     assert [(r[1]["x-page-id"], r[2]) for r in found if r[1]["x-page-id"] != "9"] == [("1", inner), ("2", b"second")]
 
 
