@@ -242,7 +242,8 @@ def _clean(text: Column) -> Column:
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """``documents`` with every entity replaced by its kind and every disclosing term generalised or removed."""
-    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_whole"), "text")
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    whole = documents.select(F.struct(*rest, F.lit(True).alias("_")).alias("_whole"), "text")
     found = find(whole)
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     merged, text = _clean(F.col("text"))
