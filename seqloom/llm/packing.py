@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import WordCache, keep
 
-CACHE_ENTRIES = 400_000
+WORDS, RUNS = 280_000, 150_000
 SEARCH_NODES = 20_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern, and letters that lowering and composing leave alone but for case.
@@ -67,8 +67,8 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.words = WordCache(CACHE_ENTRIES, self._words)
-        self.runs = WordCache(CACHE_ENTRIES, self._runs)
+        self.words = WordCache(WORDS, self._words)
+        self.runs = WordCache(RUNS, self._runs)
         own = json.loads(self.tokenizer.to_str())
         self.splits = own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _RUN_PATTERN and [
             x["type"] for x in own["normalizer"]["normalizers"]
@@ -314,7 +314,8 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     columns = [c for c in cut.columns if c not in ("task", "nth")]
-    numbered = cut.join(offsets, ["task", "length"]).select(*columns, (F.col("earlier") + F.col("nth")).alias("number"))
+    # never broadcast: there are as many offsets as tasks times lengths
+    numbered = cut.join(offsets.hint("merge"), ["task", "length"]).select(*columns, (F.col("earlier") + F.col("nth")).alias("number"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, first, sequence, offset = starts.value
