@@ -33,7 +33,7 @@ TEACHING_SENTENCES = 500
 ROWS_AT_ONCE = 500
 SCALES = (0.8, 1.0, 1.2, 1.5, 1.8, 2.2, 2.6, 3.0)
 SHIFTS = tuple(np.arange(-4, 6.1, 0.5))
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
