@@ -3,9 +3,10 @@
 Texts become ids (a closing id after each), cut every ``capacity`` ids; the pieces go into as few sequences of at most
 ``capacity`` ids as the search finds. Only how many pieces there are of each length matters for that, so the search
 runs on a histogram of at most ``capacity`` numbers, whatever the corpus, and its answer, patterns of lengths with
-multiplicities, comes to a few thousand rows. The search fills the bin of the largest piece left: it enumerates the
-fillings that no other filling dominates, tries the one with the least waste first, applies it as often as the counts allow,
-and drops branches whose waste already rules out fewer bins than the incumbent, which is best fit decreasing to begin with.
+multiplicities, comes to a few thousand rows. The search fills the bin of the largest piece left: it goes through the
+fillings that no exchange or addition improves, the one with the least waste first, applies each as often as the counts and the waste
+allow, then all of them less often, and drops branches whose waste already rules out fewer bins than the incumbent, which is best fit decreasing to
+begin with. It ends at the lower bound, when nothing is left to try, or after ``SEARCH_NODES`` nodes and fillings, at every size of input alike.
 Pieces are then numbered within their length, by task and place in the task, and each number falls into one slot of a pattern.
 
 Null texts count as empty; an empty text is the closing id alone. Ties between pieces of one length are settled by where they
@@ -14,14 +15,17 @@ were read. Repeated rows are packed as often as they occur. Further input column
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,7 @@ from seqloom.llm.common import WordCache, keep
 
 WORDS, RUNS = 280_000, 150_000
 SEARCH_NODES = 20_000
+OPEN_STEPS = 64
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern, and letters that lowering and composing leave alone but for case.
 _RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -172,115 +177,161 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter[Patter
     return total
 
 
-def completions(counts: dict[int, int], lengths: list[int], space: int, most: int = 12, looks: int = 4000) -> list[Pattern]:
-    """Undominated fillings of ``space``, least waste first. ``lengths``: those with a count, largest first.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing takes: by total length, and for each k by the pieces of at least k, of which those over half never share a bin."""
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for k in {0, *(n for n in counts if 2 * n <= capacity)}:
+        large = sum(c for n, c in counts.items() if n > capacity - k)
+        half = [(n, c) for n, c in counts.items() if 2 * n > capacity and n <= capacity - k]
+        rest = sum(n * c for n, c in counts.items() if k <= n and 2 * n <= capacity)
+        spare = sum(c * (capacity - n) for n, c in half)
+        best = max(best, large + sum(c for _, c in half) + max(0, -(-(rest - spare) // capacity)))
+    return best
+
+
+def completions(counts: dict[int, int], lengths: list[int], space: int, most_waste: int) -> Iterator[Pattern | None]:
+    """Undominated fillings of ``space``, least waste first, and None for each dominated one. ``lengths``: those with a count, ascending.
 
     A filling to which another piece could be added, or in which one piece could be exchanged for a longer one that is left and still
-    fits, is dominated and not returned. A full filling of few long pieces comes before one of many short pieces.
+    fits, is dominated. Among fillings of one waste, those of long pieces come first.
     """
-    found: list[tuple[int, int, Pattern]] = []
-    looked = 0
-
-    def search(i: int, left: int, taken: tuple[int, ...]) -> None:
-        nonlocal looked
-        looked += 1
-        if looked > looks or sum(1 for f in found if f[0] == 0) >= most:
+    usable = lengths[: bisect_right(lengths, space)]
+    have = [counts[n] for n in usable]
+    mask = (1 << space + 1) - 1
+    reach = [1]  # the sums that the shortest j lengths can make, as bits
+    for n, c in zip(usable, have):
+        sums, step, many = reach[-1], 1, min(c, space // n)
+        while many > 0:
+            take = min(step, many)
+            sums |= sums << take * n
+            many, step = many - take, 2 * step
+        reach.append(sums & mask)
+
+    def exact(j: int, left: int) -> Iterator[Pattern]:
+        if left == 0:
+            yield ()
             return
-        lower = len(lengths)
-        for j in range(i, len(lengths)):
-            n = lengths[j]
-            if n > left or counts[n] <= taken.count(n):
-                continue
-            lower = j
-            search(j, left - n, (*taken, n))
-            if looked > looks or left == 0:
+        for i in range(min(j, bisect_right(usable, left)), 0, -1):
+            if not reach[i] >> left & 1:
                 return
-        if lower == len(lengths) and not _improves(counts, lengths, taken, left):
-            found.append((left, len(taken), taken))
+            n = usable[i - 1]
+            for k in range(min(have[i - 1], left // n), 0, -1):
+                if reach[i - 1] >> left - k * n & 1:
+                    for tail in exact(i - 1, left - k * n):
+                        yield (n,) * k + tail
 
-    search(0, space, ())
-    return [f[2] for f in sorted(found)[:most]]
+    for waste in range(min(space, most_waste) + 1):
+        if reach[-1] >> space - waste & 1:
+            for filling in exact(len(usable), space - waste):
+                yield None if waste and _improves(dict(zip(usable, have)), usable, filling, waste) else filling
 
 
-def _improves(counts: dict[int, int], lengths: list[int], taken: tuple[int, ...], left: int) -> bool:
+def _improves(counts: dict[int, int], lengths: list[int], taken: Pattern, left: int) -> bool:
     """Whether a piece that is left could stand for a shorter one of ``taken``, or be added."""
-    if left == 0:
-        return False
-    smallest = lengths[-1] if lengths else left + 1
-    if smallest <= left and counts[smallest] > taken.count(smallest):
-        return True
-    return any(t < n <= t + left and counts[n] > taken.count(n) for t in set(taken) for n in lengths)
+    used = Counter(taken)
+    spare = lambda low, high: any(counts[n] > used[n] for n in lengths[bisect_left(lengths, low) : bisect_right(lengths, high)])
+    return spare(1, left) or any(spare(t + 1, t + left) for t in used)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> Counter[Pattern]:
-    """The best packing found within ``nodes`` steps; never worse than best fit decreasing."""
-    counts = {n: c for n, c in counts.items() if c}
-    if not counts:
-        return Counter()
-    total = sum(n * c for n, c in counts.items())
-    bound = max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
-    best = best_fit_decreasing(counts, capacity)
-    best_bins = sum(best.values())
-    allowed = [nodes]
-
-    def descend(left: dict[int, int], size: int, used: int, wide: bool) -> list[tuple[Pattern, int]] | None:
-        """Patterns that beat the incumbent. Waste so far counts against it through ``size``, which is what is left."""
-        nonlocal best_bins
-        made: list[tuple[Pattern, int]] = []
-        while left:
-            allowed[0] -= 1
-            if used + -(-size // capacity) >= best_bins:
-                return None
-            lengths = sorted(left, reverse=True)
-            first = lengths[0]
-            rest = {**left, first: left[first] - 1}
-            options = completions(rest, lengths, capacity - first, most=6 if wide else 1)
-            if wide and allowed[0] > 0 and len(options) > 1:
-                kept = None
-                for filling in options:
-                    pattern = (first, *filling)
-                    after, times = _take(left, pattern)
-                    got = descend(after, size - times * sum(pattern), used + times, allowed[0] > 0)
-                    if got is not None:
-                        kept = [(pattern, times), *got]
-                        if best_bins == bound:
-                            break
-                    if allowed[0] <= 0:
-                        break
-                return None if kept is None else made + kept
-            pattern = (first, *options[0]) if options else (first,)
-            left, times = _take(left, pattern)
-            size, used = size - times * sum(pattern), used + times
-            made.append((pattern, times))
-        if used < best_bins:
-            best_bins = used
-            return made
-        return None
-
-    if best_bins > bound:
-        quick = descend(counts, total, 0, False)
-        if quick is not None:
-            best = Counter()
-            for p, k in quick:
-                best[p] += k
-        if best_bins > bound and sum(counts.values()) <= nodes // 20:
-            better = descend(counts, total, 0, True)
-            if better is not None:
-                best = Counter()
-                for p, k in better:
-                    best[p] += k
-    return best
+@dataclass
+class _Step:
+    """One bin pattern on the way down: the fillings of the largest piece, how many were tried, and the one that is applied."""
+
+    first: int
+    options: Iterator[tuple[Pattern | None, int]] | None = None
+    tried: int = 0
+    pattern: Pattern = ()
+    times: int = 0
 
 
-def _take(left: dict[int, int], pattern: Pattern) -> tuple[dict[int, int], int]:
-    need = Counter(pattern)
-    times = min(left[n] // k for n, k in need.items())
-    after = dict(left)
-    for n, k in need.items():
-        after[n] -= k * times
-        if not after[n]:
-            del after[n]
-    return after, times
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> Counter[Pattern]:
+    """The best packing found within ``nodes`` nodes and fillings; never worse than best fit decreasing."""
+    left = {n: c for n, c in counts.items() if c}
+    best = best_fit_decreasing(left, capacity)
+    best_bins, bound = sum(best.values()), lower_bound(left, capacity)
+    lengths, size, used = sorted(left), sum(n * c for n, c in left.items()), 0
+    mark = {n: int.from_bytes(hashlib.blake2b(str(n).encode(), digest_size=16).digest(), "big") for n in left}
+    state = sum(c * mark[n] for n, c in left.items()) % 2**128  # of what is left; 128 bits, so no two states share one
+    seen: dict[int, int] = {}
+    path: list[_Step] = []
+
+    def apply(pattern: Pattern, times: int) -> None:
+        """Takes ``pattern`` out of what is left, or puts it back if ``times`` is negative."""
+        nonlocal size, used, state
+        for n, k in Counter(pattern).items():
+            before = left.get(n, 0)
+            left[n] = before - k * times
+            if not before:
+                insort(lengths, n)
+            if not left[n]:
+                del left[n]
+                lengths.pop(bisect_left(lengths, n))
+            state = (state - k * times * mark[n]) % 2**128
+        size, used = size - times * sum(pattern), used + times
+
+    def choices(first: int, spare: int) -> Iterator[tuple[Pattern | None, int]]:
+        """Every filling as often as it goes, then every filling every number of times less."""
+        rest = left | {first: left[first] - 1}
+        present = list(lengths)
+        for f in completions(rest, present, capacity - first, spare):
+            yield None if f is None else (first, *f), 0
+        for f in completions(rest, present, capacity - first, spare):
+            if f is not None:
+                most = min((rest[n] + (n == first)) // k for n, k in Counter((first, *f)).items())
+                for less in sorted(range(1, most), key=lambda t: -(t & -t)):
+                    yield (first, *f), less
+
+    def fill(step: _Step) -> bool:
+        """Applies the next choice; False if there is none that can beat the incumbent."""
+        nonlocal nodes
+        spare = (best_bins - 1 - used) * capacity - size  # waste that is still allowed
+        if spare < 0:
+            return False
+        if step.options is None:
+            step.options = islice(choices(step.first, spare), step.tried, None)
+        for pattern, less in step.options:
+            nodes -= 1
+            step.tried += 1
+            if pattern is not None:
+                break
+            if nodes <= 0:
+                return False
+        else:
+            return False
+        step.pattern = pattern
+        step.times = min(left[n] // k for n, k in Counter(pattern).items()) - less
+        waste = capacity - sum(step.pattern)
+        if waste > spare:
+            return False
+        if waste:
+            step.times = min(step.times, spare // waste)  # fewer of them than that stay allowed
+        apply(step.pattern, step.times)
+        return True
+
+    down = True
+    while nodes > 0 and best_bins > bound:
+        if down:
+            nodes -= 1
+            if not lengths:
+                best_bins, best = used, Counter()
+                for step in path:
+                    best[step.pattern] += step.times
+            elif used + -(-size // capacity) < best_bins and seen.get(state, used + 1) > used:
+                seen[state] = used
+                path.append(_Step(lengths[-1]))
+                if len(path) > OPEN_STEPS:
+                    path[-OPEN_STEPS - 1].options = None  # made again if the search comes back to it
+                down = fill(path[-1])
+                if not down:
+                    path.pop()
+                continue
+        if not path:
+            break
+        apply(path[-1].pattern, -path[-1].times)
+        down = fill(path[-1])
+        if not down:
+            path.pop()
+    return best
 
 
 def slots(plan: Counter[Pattern]) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -274,6 +275,26 @@ def test_search_is_optimal_on_small_cases():
         assert sum(packing.bin_completion(collections.Counter(items), 20).values()) == best(tuple(items))
 
 
+def test_search_runs_at_every_size():
+    kinds = {58: 900, 15: 900, 27: 900, 17: 300, 59: 300, 24: 300, 34: 300, 38: 300, 28: 300, 51: 600, 4: 600, 45: 600}
+    plan = packing.bin_completion(kinds, 100)
+    used = collections.Counter()
+    for pattern, k in plan.items():
+        assert sum(pattern) <= 100
+        used.update({n: k * c for n, c in collections.Counter(pattern).items()})
+    assert used == kinds and packing.lower_bound(kinds, 100) == 2100
+    assert sum(plan.values()) < 2134  # what best fit decreasing and one descent come to
+
+
+def test_completions_are_all_undominated_fillings():
+    counts, space = {3: 2, 4: 1, 5: 2, 7: 1, 9: 1}, 17
+    every = {t for k in range(5) for t in itertools.combinations([9, 7, 5, 5, 4, 3, 3], k) if sum(t) <= space}
+    spare = lambda t: collections.Counter(counts) - collections.Counter(t)
+    good = {t for t in every if not any(n <= space - sum(t) or any(x < n <= x + space - sum(t) for x in t) for n in spare(t))}
+    got = [f for f in packing.completions(counts, sorted(counts), space, space) if f is not None]
+    assert set(got) == good and len(got) == len(good) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def check_packing(rows, source, capacity=2048):
     real = Tokenizer.from_file(queries.WORDS)
     real.encode_special_tokens = True
