@@ -5,8 +5,9 @@ accepted and rejected examples: for either kind a variable-order Markov model ov
 hash of the URL), each order smoothed with the one below. URLs without a rule are judged by the difference of log-likelihoods over length, put through a
 logistic calibration fitted on at most ``CALIBRATION_ROWS`` URLs of the fifth left out.
 
-Counts live in hashed tables of a fixed size, whatever the corpus: tasks add up their own and send each cell once, and the sum, at most
-2 * (ORDER + 1) * 2**BITS rows, is broadcast. URLs are scored whole. A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged
+Counts are exact: an n-gram of up to ORDER + 1 symbols is a number of its own, so no two share a count, and the table of counts is a written
+one that grows with what occurs. It is neither gathered nor broadcast by hand: what URLs without a rule ask of it is put together for
+about ``CHUNK`` different URLs at a time, once for each n-gram, and joined to it. URLs are scored whole. A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged
 by what the calibration says of no difference (null) or of its text. Where rules accept or reject nothing, everything without a rule is allowed. Repeated rows
 count and are judged as often as they occur; further columns pass through, columns with the names of results are replaced. An
 empty table gives an empty table.
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import chunks
+from seqloom.llm.common import chunks, keep
 
 ORDER = 5
-BITS = 15
 STRENGTH = 4.0
 CALIBRATION_ROWS = 5000
 ROWS_AT_ONCE = 4000
-_START = 2
+CHUNK = 2048
+#: Symbols are bytes, what stands before a URL and what ends it.
+_START, _END, _SYMBOL = 256, 257, 9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,50 +70,87 @@ def deciding_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
 
 
 def _positions(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all URLs and the end of each: (which URL, cell of context and byte, cell of context), cells by order."""
-    pad = bytes([_START]) * ORDER
-    data = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
+    """For all bytes of all URLs and the end of each: (which URL, context and symbol, context), the latter two by order."""
     lengths = np.array([len(u) + 1 for u in urls])
     owner = np.repeat(np.arange(len(urls)), lengths)
     place = np.arange(lengths.sum()) + ORDER * (owner + 1)
-    context = np.zeros(len(place), np.uint64)
-    power = 1
-    cells, contexts = [], []
-    mask = np.uint64((1 << BITS) - 1)
+    data = np.full(lengths.sum() + ORDER * len(urls), _START, np.int64)
+    ends = np.cumsum(lengths) - 1
+    own = np.full(len(place), _END, np.int64)
+    own[np.delete(np.arange(len(place)), ends)] = np.frombuffer(b"".join(urls), np.uint8)
+    data[place] = own
+    context = np.zeros(len(place), np.int64)
+    grams, contexts = [], []
     for k in range(ORDER + 1):
         if k:
-            power = power * 0x100000001B3 % 2**64
-            context = context + (data[place - k] + np.uint64(1)) * np.uint64(power)
-        own = _mix(context + np.uint64(k))
-        contexts.append((own & mask).astype(np.int64) + (k << BITS))
-        cells.append((_mix(own + data[place] * np.uint64(0x9E3779B97F4A7C15)) & mask).astype(np.int64) + (k << BITS))
-    return owner, np.array(cells), np.array(contexts)
+            context = context | data[place - k] << _SYMBOL * k
+        grams.append(_key(k, 1) | context | own)
+        contexts.append(_key(k, 0) | context)
+    return owner, np.array(grams), np.array(contexts)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _key(order: int, symbol: int) -> int:
+    """The bits above the symbols: the order, and whether the symbol after the context belongs to it."""
+    return (2 * order + symbol) << _SYMBOL * (ORDER + 1)
+
+
+def _asked(urls: list[bytes]) -> np.ndarray:
+    _, grams, contexts = _positions(urls)
+    return np.unique(np.concatenate([grams.ravel(), contexts.ravel()]))
+
+
+def _difference(urls: list[bytes], keys: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """log-likelihood under accepted less that under rejected, over length, by the counts of ``keys``; other keys have none."""
+    owner, grams, contexts = _positions(urls)
+    order = np.argsort(keys)
+    keys = np.append(keys[order], np.iinfo(np.int64).max)
+    logs = []
+    for counts in (yes, no):
+        counts = np.append(counts[order], 0)
+
+        def of(asked: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys, asked)
+            return np.where(keys[at] == asked, counts[at], 0)
+
+        p = np.full(len(owner), 1 / 257)
+        for k in range(ORDER + 1):
+            p = (of(grams[k]) + STRENGTH * p) / (of(contexts[k]) + STRENGTH)
+        logs.append(np.log(p))
+    return np.bincount(owner, logs[0] - logs[1], len(urls)) / np.array([len(u) + 1 for u in urls])
 
 
 @dataclass
 class Model:
-    counts: np.ndarray  # [accepted or rejected, cell or context, order and cell]
+    counts: DataFrame  # (key, yes, no) of every context, with and without a symbol: how often in accepted and in rejected URLs
     intercept: float
     slope: float
 
     def difference(self, urls: list[bytes]) -> np.ndarray:
-        """log-likelihood under accepted less that under rejected, over length."""
+        """log-likelihood under accepted less that under rejected, over length, of a few URLs."""
         if not urls:
             return np.zeros(0)
-        owner, cells, contexts = _positions(urls)
-        logs = []
-        for kind in self.counts:
-            p = np.full(cells.shape[1], 1 / 257)
-            for k in range(ORDER + 1):
-                n, total = kind[0][cells[k]], kind[1][contexts[k]]
-                p = (np.minimum(n, total) + STRENGTH * p) / (total + STRENGTH)
-            logs.append(np.log(p))
-        return np.bincount(owner, logs[0] - logs[1], len(urls)) / np.array([len(u) + 1 for u in urls])
+        asked = self.counts.sparkSession.createDataFrame(pa.table({"key": _asked(urls)}))
+        got = self.counts.join(F.broadcast(asked), "key").toPandas()
+        return _difference(urls, *(got[c].to_numpy(np.int64) for c in ("key", "yes", "no")))
+
+    def differences(self, urls: DataFrame) -> DataFrame:
+        """(url, difference) of every different URL of ``urls``; null and empty ones are left out."""
+        texts = keep(urls.select("url").where("url <> ''").distinct())
+        texts = texts.withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(-(-texts.count() // CHUNK) or 1)))
+
+        def ask(some: pa.Table) -> pa.Table:
+            keys = _asked([u.encode() for u in some.column("url").to_pylist()])
+            return pa.table({"chunk": np.full(len(keys), some.column("chunk")[0].as_py()), "key": keys})
+
+        asked = texts.groupBy("chunk").applyInArrow(ask, "chunk long, key long").join(self.counts, "key").select("chunk", "key", "yes", "no")
+
+        def judged(some: pa.Table, counts: pa.Table) -> pa.Table:
+            listed = some.column("url").to_pylist()
+            keys, yes, no = (counts.column(c).to_numpy() for c in ("key", "yes", "no"))
+            out = [_difference([u.encode() for u in listed[i : i + ROWS_AT_ONCE]], keys, yes, no) for i in range(0, len(listed), ROWS_AT_ONCE)]
+            return pa.table({"url": pa.array(listed, pa.string()), "difference": np.concatenate(out) if out else np.zeros(0)})
+
+        return texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(judged, "url string, difference double")
 
     def accept(self, difference: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -40, 40)))
@@ -121,32 +160,23 @@ def _left_out(url: Column) -> Column:
     return F.pmod(F.xxhash64(url, F.lit(11)), F.lit(5)) == 0
 
 
-def count(labelled: DataFrame) -> np.ndarray:
-    """Counts over all rows of (url, accepted)."""
-    size = (ORDER + 1) << BITS
+def count(labelled: DataFrame) -> DataFrame:
+    """(key, yes, no) over all rows of (url, accepted), written; tasks send each key once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, size), np.int64)
         for batch in chunks(batches, ROWS_AT_ONCE):
             urls = [u.encode() for u in batch.column(0).to_pylist()]
             if not urls:
                 continue
-            owner, cells, contexts = _positions(urls)
-            kind = np.where(np.array(batch.column(1).to_pylist(), bool), 0, 1)[owner]
-            for which in (0, 1):
-                use = kind == which
-                for k in range(ORDER + 1):
-                    total[which, 0] += np.bincount(cells[k][use], minlength=size)
-                    total[which, 1] += np.bincount(contexts[k][use], minlength=size)
-        flat = total.reshape(2, -1)
-        at = np.flatnonzero(flat.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0, at]), pa.array(flat[1, at])], names=["at", "yes", "no"])
-
-    sums = labelled.select("url", "accepted").mapInArrow(run, "at long, yes long, no long").groupBy("at").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    got = sums.toPandas()
-    counts = np.zeros((2, 2 * size), np.float32)
-    counts[0, got["at"]], counts[1, got["at"]] = got["yes"], got["no"]
-    return counts.reshape(2, 2, size)
+            owner, grams, contexts = _positions(urls)
+            accepted = np.array(batch.column(1).to_pylist(), bool)[owner]
+            keys, at = np.unique(np.concatenate([grams.ravel(), contexts.ravel()]), return_inverse=True)
+            yes = np.bincount(at[np.tile(accepted, 2 * (ORDER + 1))], minlength=len(keys))
+            total = np.bincount(at, minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(yes), pa.array(total - yes)], names=["key", "yes", "no"])
+
+    parts = labelled.select("url", "accepted").mapInArrow(run, "key long, yes long, no long")
+    return keep(parts.groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -164,7 +194,8 @@ def train(labelled: DataFrame) -> Model | None:
     """``labelled``: (url, accepted). None if either kind is missing."""
     rest = labelled.where(~_left_out(F.col("url")))
     counts = count(rest)
-    if not counts[0, 1].any() or not counts[1, 1].any():
+    every = counts.where(F.col("key") == _key(0, 0)).first()
+    if every is None or not every["yes"] or not every["no"]:
         return None
     some = labelled.where(_left_out(F.col("url"))).orderBy(F.xxhash64("url", F.lit(13)), "url").limit(CALIBRATION_ROWS).collect()
     model = Model(counts, 0.0, 1.0)
@@ -186,23 +217,11 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
     model = train(labelled)
     if model is None:
         return rows.select(*kept, "host", "path", "rule", F.lit(None).cast("double").alias("score"), F.coalesce("_action", F.lit("allow")).alias("verdict"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    at = rows.columns.index(url_col)
-    decided = rows.columns.index("_action")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, ROWS_AT_ONCE):
-            actions = batch.column(decided).to_pylist()
-            urls = [(u or "").encode() for u in batch.column(at).to_pylist()]
-            ask = [i for i, a in enumerate(actions) if a is None]
-            p = shared.value.accept(shared.value.difference([urls[i] for i in ask]))
-            p = np.where([not urls[i] for i in ask], shared.value.accept(np.zeros(1)), p) if ask else p
-            score: list[float | None] = [None] * len(actions)
-            for i, s in zip(ask, p):
-                score[i], actions[i] = float(s), "allow" if s >= 0.5 else "block"
-            columns = [c for i, c in enumerate(batch.columns) if i != decided]
-            names = [n for n in batch.schema.names if n != "_action"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64()), pa.array(actions, pa.string())], names=[*names, "score", "verdict"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_action")
-    return rows.mapInArrow(run, f"{fields}, score double, verdict string")
+    ask = rows.where("_action is null").select(F.col(url_col).alias("url"))
+    known = keep(model.differences(ask)).select(F.col("url").alias("_url"), "difference")
+    joined = rows.join(known, (F.col(url_col) == F.col("_url")) & F.col("_action").isNull(), "left")
+    linear = F.lit(model.intercept) + F.lit(model.slope) * F.coalesce("difference", F.lit(0.0))
+    likely = 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(40.0)), F.lit(-40.0))))
+    score = F.when(F.col("_action").isNull(), likely)
+    verdict = F.coalesce("_action", F.when(score >= 0.5, "allow").otherwise("block"))
+    return joined.select(*kept, "host", "path", "rule", score.alias("score"), verdict.alias("verdict"))

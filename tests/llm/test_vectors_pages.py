@@ -1,5 +1,6 @@
 """Vectors, URLs and archives on small fixtures, against brute force."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -163,6 +164,40 @@ def test_url_query(spark, sf_dir):
         assert r["rule"] == (rule and rule.text) and (rule is None or r["verdict"] == rule.action)
 
 
+def test_url_models_count_every_ngram(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [("".join(rng.choice(letters) for _ in range(60)), i % 2 == 0) for i in range(3000)] + [("\x02\x03é", True)]
+    got = {r["key"]: (r["yes"], r["no"]) for r in urls.count(spark.createDataFrame(rows, "url string, accepted boolean")).collect()}
+    want = collections.Counter()
+    for url, accepted in rows:
+        symbols = [urls._START] * urls.ORDER + [*url.encode(), urls._END]
+        for i in range(urls.ORDER, len(symbols)):
+            for k in range(urls.ORDER + 1):
+                want[k, tuple(symbols[i - k : i + 1]), accepted] += 1
+                want[k, (*symbols[i - k : i], None), accepted] += 1
+    assert len(got) == len({w[:2] for w in want}) > 6 << 15  # more than six tables of 2**15 cells hold
+    for (k, gram, accepted), n in want.items():
+        key = urls._key(k, int(gram[-1] is not None)) + sum((s or 0) << 9 * i for i, s in enumerate(reversed(gram)))
+        assert got[key][0 if accepted else 1] == n
+
+
+def test_joined_scores_equal_the_model(spark, monkeypatch):
+    monkeypatch.setattr(urls, "CHUNK", 30)
+    rng = random.Random(9)
+    rows = [(i, f"http://{rng.choice(['a.net', 'b.org', 'example.net/en', 'c.com'])}/{rng.randrange(300)}") for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judge(df, queries.RULES).collect()
+    assert len(out) == len(rows)
+    named = [(r.action, r.url) for r in df.select("url", urls.deciding_rule(*urls.host_and_path(F.col("url")), queries.RULES)[1].alias("action")).collect()]
+    model = urls.train(spark.createDataFrame([(u, a == "allow") for a, u in named if a], "url string, accepted boolean"))
+    free = [r for r in out if r["rule"] is None]
+    want = model.accept(model.difference([(r["url"] or "").encode() for r in free]))
+    assert len(free) > 100
+    for r, p in zip(free, want):
+        assert r["score"] == pytest.approx(p if r["url"] else model.accept(np.zeros(1))[0])
+
+
 # archives
 
 
