@@ -2,10 +2,12 @@
 
 Patterns find the protected entities: e-mail addresses, IP addresses, payment cards and phone numbers. The corpus then tells which other terms give
 an entity away. A term t discloses an entity c by PMI(c; t) = log2 p(c, t) / (p(c) p(t)), which reaches the entity's whole information
-IC(c) = -log2 p(c) where t never occurs without c. p(c) and p(t) are shares of all documents, p(c, t) the share in which t stands within
+IC(c) = -log2 p(c) where t never occurs without c. p(c) and p(t) are shares of all different texts, p(c, t) the share in which t stands within
 ``CONTEXT`` code points of c. A term that discloses at least ``REMOVE`` of the information is removed, at least ``GENERALISE`` of it is generalised to a
-placeholder, provided that the two met in at least ``SUPPORT`` different contexts; copies of one passage are one context, so that a document
-that was copied often does not by itself make its words disclosing.
+placeholder, wherever it stands in any text, provided that chance alone would hardly make them meet as often: a bound of the hypergeometric tail, times the number of
+pairs, is at most ``CHANCE``. So an entity of two texts can have such terms, and a line that stands in many texts counts once for each of them; copies of
+a whole text are one text, so that a document that was copied often does not by itself make its words disclosing. A single text
+is enough only where few pairs are compared.
 
 Null texts count as empty and, like empty ones, hold nothing. Places are code points, end exclusive. Rows are told apart by a key of their own,
 so repeated rows and null or repeated doc_ids do not mix. Columns other than the text pass through; columns that have the names of results are
@@ -29,12 +31,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 80
-SUPPORT = 3
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 _BLOCK = 256
 _CHUNK = 4096
 _FOUND = "array<struct<start:int,end:int,value:string>>"
-_NEAR = "array<struct<kind:string,value:string,term:string,start:int,end:int,context:bigint>>"
+_NEAR = "array<struct<kind:string,value:string,term:string>>"
 
 
 def _running(lengths: Column) -> Column:
@@ -130,7 +132,7 @@ def _entities() -> Column:
 
 
 def _near(text: Column, entities: Column) -> Column:
-    """Every whole word (letters only) within CONTEXT of an entity, with the entity and a hash of what stands around it.
+    """Every whole word (letters only) within CONTEXT of an entity, lowered, with the entity.
 
     Contexts are cut from overlapping chunks, as finding a place in a text takes as long as the text before it.
     """
@@ -139,7 +141,7 @@ def _near(text: Column, entities: Column) -> Column:
 
     def cut(parts: Column, start: Column, length: Column, anchor: Column) -> Column:
         c = F.floor(anchor / _CHUNK).cast("int")
-        return F.lower(F.substring(F.get(parts, c), start - _origin(c) + 1, length))
+        return F.substring(F.get(parts, c), start - _origin(c) + 1, length)
 
     def of(parts: Column, x: Column) -> Column:
         from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
@@ -148,14 +150,10 @@ def _near(text: Column, entities: Column) -> Column:
         return let(F.struct(before.alias("b"), after.alias("a")), lambda c: words(x, from_, c["b"], c["a"]))
 
     def words(x: Column, from_: Column, before: Column, after: Column) -> Column:
-        context = F.xxhash64(before, after)
         left = F.filter(matches(before, r"\p{L}++"), lambda w: (w["start"] > 0) | (from_ == 0))
         right = F.filter(matches(after, r"\p{L}++"), lambda w: (w["end"] < CONTEXT))
-        word = lambda shift: lambda w: F.struct(
-            x["kind"].alias("kind"), x["value"].alias("value"), w["value"].alias("term"),
-            (w["start"] + shift).alias("start"), (w["end"] + shift).alias("end"), context.alias("context"),
-        )
-        return F.concat(F.transform(left, word(from_)), F.transform(right, word(x["end"])))
+        word = lambda w: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.lower(w["value"]).alias("term"))
+        return F.concat(F.transform(left, word), F.transform(right, word))
 
     found = let(chunks, lambda parts: F.flatten(F.transform(entities, lambda x: of(parts, x))))
     return F.when(F.size(entities) > 0, found).otherwise(F.array().cast(_NEAR))
@@ -165,51 +163,70 @@ def _origin(c: Column) -> Column:
     return F.greatest(c * _CHUNK - CONTEXT, F.lit(0))
 
 
-def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that give an entity away; counts cover all rows.
+def _terms(text: Column) -> Column:
+    """Every different word of a text, lowered."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _chance(n: Column, whole: Column, drawn: Column, both: Column) -> Column:
+    """Log of Hoeffding's bound that of ``drawn`` out of ``n`` texts at least ``both`` are among ``whole`` given ones; 0 if that is to be expected."""
+    q, p = both / drawn, whole / n
+    miss = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(F.lit(0.0))
+    return F.when(q > p, -drawn * (q * F.log(q / p) + miss)).otherwise(F.lit(0.0))
+
+
+def disclosing(found: DataFrame, threshold: float = GENERALISE) -> DataFrame:
+    """(kind, value, term, disclosure) of the terms that give an entity away; counts cover all different texts.
 
-    Every count is a partial aggregate first. Only terms that met one entity in ``support`` contexts are counted through the corpus, by a
-    semi-join that Spark broadcasts if the written table of those terms is small and shuffles otherwise.
+    Every count is a partial aggregate first. ``found`` is written, with a row for every text (``_read``).
     """
-    total = found.count()
     entity = ["kind", "value"]
+    hashed = found.select("row", F.md5("_read").alias("h"))
+    first = keep(hashed.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    again = keep(hashed.join(first, "h").where("row <> first").select("row"))
+    once = found.join(again, "row", "left_anti")
+    total = once.count()
     own = F.explode(F.array_distinct(F.transform(_entities(), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))))
-    entities = found.select(own.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
-    words = F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(*(x[c].alias(c) for c in (*entity, "term", "context"))))))
-    met = found.select(words.alias("w")).groupBy("w.kind", "w.value", "w.term", "w.context").agg(F.count("*").alias("n"))
-    together = met.groupBy(*entity, "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= support)
-    candidates = keep(together.join(entities, entity))
-    terms = keep(candidates.select("term").distinct())
-    every = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++"), F.lit(0)))).alias("term"))
-    counted = every.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    entities = once.select(own.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
+    met = once.select(F.explode(F.array_distinct("near")).alias("w"))
+    together = met.groupBy("w.kind", "w.value", "w.term").agg(F.count("*").alias("n_both"))
+    counted = once.select(F.explode(_terms(F.col("_read"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = keep(together.join(entities, entity))
     n = F.lit(float(max(total, 1)))
     both = F.least("n_both", "n_entity", "n_term")
     pmi = F.log2(both * n / (F.col("n_entity") * F.col("n_term")))
     information = F.log2(n / F.col("n_entity"))
     told = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    return candidates.join(counted, "term").select(*entity, "term", told.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    chance = F.least(_chance(n, F.col("n_entity"), F.col("n_term"), both), _chance(n, F.col("n_term"), F.col("n_entity"), both))
+    rare = chance <= F.log(F.lit(CHANCE / max(pairs.count(), 1)))
+    return pairs.join(counted, "term").where(rare).select(*entity, "term", told.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def find(documents: DataFrame, passed: list[str] | None = None) -> DataFrame:
-    """The columns ``passed`` (all by default), with email, ip, card and phone: arrays of (start, end, value), and term: of (start, end, removed)."""
-    names = (*KINDS, "term", "near", "row")
+    """The columns ``passed`` (all by default), with email, ip, card and phone: arrays of (start, end, value), and term: of (start, end, removed).
+
+    Texts are written with what is found in them, as terms are looked for in all of them once they are known.
+    """
+    names = (*KINDS, "term", "near", "row", "_read")
     columns = [c for c in (documents.columns if passed is None else passed) if c not in names]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(*columns, text.alias("_read"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("*", *(c.alias(k) for k, c in _base(F.col("_read")).items()))
-    rows = rows.withColumn("_entities", _entities()).withColumn("near", _near(F.col("_read"), F.col("_entities")))
-    found = keep(rows.drop("_read", "_entities"))
-    told = disclosing(found, documents.select(text.alias("text")))
-    places = found.where(F.size("near") > 0).select("row", F.explode("near").alias("w")).select("row", "w.kind", "w.value", "w.term", "w.start", "w.end")
-    marked = places.join(told, ["kind", "value", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
-    spans = marked.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", (F.col("d") >= REMOVE).alias("removed")))).alias("term")
-    )
+    rows = rows.withColumn("_entities", _entities()).withColumn("near", _near(F.col("_read"), F.col("_entities"))).drop("_entities")
+    # texts stay once in the written table
+    found = keep(rows.drop("_read") if "text" in columns else rows)
+    read = found.withColumn("_read", text) if "text" in columns else found
+    told = keep(disclosing(read).groupBy("term").agg(F.max("disclosure").alias("d")))
+    hits = read.select("row", F.explode(_terms(F.col("_read"))).alias("term")).join(told, "term")
+    known = keep(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("known")))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    # only rows that have an entity can have such a term; the others, most of the corpus, are not shuffled
-    bare = found.where(F.size("near") == 0).withColumn("term", none)
-    rich = found.where(F.size("near") > 0).join(keep(spans), "row", "left").withColumn("term", F.coalesce("term", none))
-    return bare.unionByName(rich).drop("row", "near")
+    share = lambda w: F.try_element_at("known", F.lower(w["value"]))
+    places = F.transform(
+        F.filter(matches(F.col("_read"), r"\p{L}++"), lambda w: share(w).isNotNull()),
+        lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (share(w) >= REMOVE).alias("removed")),
+    )
+    term = F.when(F.col("known").isNull(), none).otherwise(places)
+    return read.join(known, "row", "left").withColumn("term", term).drop("row", "near", "known", "_read")
 
 
 def spelled(kinds: tuple[str, ...]) -> Column:
@@ -245,7 +262,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     whole = documents.select(F.struct(*rest, F.lit(True).alias("_")).alias("_whole"), "text")
     found = find(whole)
-    some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
+    some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") + F.size("term") > 0
     merged, text = _clean(F.col("text"))
     clean = found.where(~some)
     changed = found.where(some).withColumn("_spans", merged).withColumn("text", text)

@@ -380,6 +380,30 @@ def test_disclosing_terms_match_counts(spark):
     assert terms == {t for t, v in told.items() if v >= pii.GENERALISE} == {"zanzibar", "bye"}
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    far = "plain filler words " * 30
+    rows = [(i, f"İ {w} Zanzibar writes from joe@corp.example {w} {far} ZANZIBAR {w}", None, None, None) for i, w in enumerate(["alpha", "beta", "gamma", "delta"])]
+    rows += [(50 + i, f"plain filler words writes from number {i}", None, None, None) for i in range(90)] + [(40, f"{far} zanzibar alone", None, None, None)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert len(clean) == len(rows) and not any("zanzibar" in t.lower() or "@" in t for t in clean.values())
+    assert clean[40] == f"{far} [TERM] alone" or clean[40] == f"{far}  alone"
+    for i, t, *_ in rows:
+        if i >= 50:
+            assert clean[i] == t
+    found = {r["doc_id"]: [r["text"][x["start"] : x["end"]] for x in r["term"]] for r in pii.find(documents(spark, rows)).collect()}
+    assert found[0] == ["İ", "Zanzibar", "ZANZIBAR"] and found[40] == ["zanzibar"] and not found[50]
+
+
+def test_rare_and_copied_pairs_disclose(spark):
+    rows = [(i, f"{w} story. Regards, Quagga ann@corp.example", None, None, None) for i, w in enumerate(["one", "two"])]
+    line = f"{'common words again ' * 6} Okapi sue@corp.example {'common words again ' * 6}"  # one context
+    rows += [(10 + i, f"{line} unlike {i}", None, None, None) for i in range(40)]
+    rows += [(100 + i, f"Regards, common words again unlike number {i}", None, None, None) for i in range(400)]
+    found = pii.find(documents(spark, rows)).collect()
+    terms = {r["text"][x["start"] : x["end"]] for r in found for x in r["term"]}
+    assert {"Quagga", "Okapi"} <= terms and not terms & {"Regards", "common", "words", "again", "unlike"}
+
+
 def test_sanitised_texts(spark):
     rows = [(1, "mail bob@x.org or +1 (222) 555-1234, card 4111 1111 1111 1111; ip 10.0.0.1.", "l", "s", 3), *ODD]
     out = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows).withColumn("row", F.lit(7)).withColumn("email", F.lit("mine"))).collect()}
