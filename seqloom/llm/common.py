@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.runtime import scratch, ship
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows that Spark hands to Python at once: of texts, its default of 10,000 is tens of megabytes, several times over.
+BATCH_ROWS = 1000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ships the package, and makes batches smaller unless the session sets a size of its own."""
     ship(spark)
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +33,7 @@ def keep(df: DataFrame) -> DataFrame:
     This cuts the lineage: a lost executor costs the tasks that ran there, never the chain before.
     """
     spark = df.sparkSession
+    ready(spark)
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -101,29 +114,50 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(i, rows)
 
 
+_holder: list = []
+
+
+def hold(owner: object, clear: Callable[[], None]) -> None:
+    """Makes ``owner`` the one whose tables this worker keeps: what another left, in a worker that lives on, is emptied first."""
+    if _holder and _holder[0] is not owner:
+        _holder[1]()
+    _holder[:] = owner, clear
+
+
 class WordCache:
-    """Values by word in two generations of ``limit`` entries, so that memory is bounded and common words stay."""
+    """Values by word in two generations of about ``limit`` bytes each, so that memory is bounded and common words stay."""
+
+    #: Of one entry besides its letters and its value: two objects' heads and a place in a table.
+    ENTRY = 220
 
     def __init__(self, limit: int, code: Callable[[list[str]], Iterable[bytes]]):
         self.limit, self.code = limit, code
+        self.clear()
+
+    def clear(self) -> None:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def ensure(self, words: Iterable[str]) -> dict[str, bytes]:
         """A table that has all of ``words``."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
         missing = set(words).difference(new)
         if old:
             again = [w for w in missing if w in old]
-            new.update((w, old[w]) for w in again)
+            self._add(again, [old[w] for w in again])
             missing.difference_update(again)
         if missing:
             listed = list(missing)
-            new.update(zip(listed, self.code(listed)))
+            self._add(listed, list(self.code(listed)))
         return new
 
+    def _add(self, words: list[str], values: list[bytes]) -> None:
+        self.new.update(zip(words, values))
+        self.size += self.ENTRY * len(words) + sum(map(len, words)) + sum(map(len, values))
+
     def join(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.new.__getitem__, words))

@@ -22,30 +22,34 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WordCache, keep
+from seqloom.llm.bpe import slices
+from seqloom.llm.common import WordCache, chunks, hold, keep
 
-WORDS, RUNS = 280_000, 150_000
+RUN_BYTES, WORD_BYTES = 48 << 20, 8 << 20
 SEARCH_NODES = 20_000
 OPEN_STEPS = 64
+ROWS_AT_ONCE = 1000
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern, and letters that lowering and composing leave alone but for case.
 _RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
-_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u017f]*")
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u012f\u0131-\u017f]*")
+_WORD_END = b"\xff"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,11 +63,54 @@ _BYTE = _byte_letters()
 Pattern = tuple[int, ...]
 
 
+def _merged(symbols: list[str], order: dict[tuple[str, str], int]) -> list[str]:
+    """What the merges make of symbols: the earliest first, the leftmost among equals."""
+    while len(symbols) > 1:
+        i = min(range(len(symbols) - 1), key=lambda k: order.get((symbols[k], symbols[k + 1]), len(order)))
+        if (symbols[i], symbols[i + 1]) not in order:
+            break
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+    return symbols
+
+
+def rank_coder(model: dict) -> Callable[[bytes], list[int]] | None:
+    """Ids of one run of bytes by a rank table, many times faster than the tokenizer's own model; None if that would not give the same.
+
+    A byte that UTF-8 never has stands for the end of a word, so that a token which ends one has bytes of its own. Ranks pick a pair by what it
+    becomes, merges by what it is made of. Both come to the same if ids ascend with the merges and every token is what its own bytes
+    merge to: as long as no token reaches over either end of some bytes, these merge as they would alone.
+    """
+    vocabulary, end = model["vocab"], model["end_of_word_suffix"] or ""
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary[a + b] for a, b in merges]
+    byte = {c: b for b, c in _BYTE.items()}
+    plain = not model["continuing_subword_prefix"] and not model["unk_token"] and not model["dropout"] and bool(end)
+    single = {*_BYTE.values(), *(c + end for c in _BYTE.values())}
+    if not plain or made != sorted(set(made)) or not single <= set(vocabulary) or max(vocabulary[c] for c in single) >= min(made, default=1 << 32):
+        return None
+    order = {m: k for k, m in enumerate(merges)}
+    ranks = {bytes([b]): vocabulary[c] for b, c in _BYTE.items()}
+    if set(vocabulary.values()) - set(made) - {vocabulary[c] for c in single}:
+        return None
+    for (a, b), number in zip(merges, made):
+        token = a + b
+        ends = token.endswith(end)
+        body = token[: -len(end)] if ends else token
+        letters = [*body[:-1], body[-1] + end] if ends else [*body]
+        if _merged(letters, order) != [token]:
+            return None
+        ranks[bytes(map(byte.__getitem__, body)) + _WORD_END * ends] = number
+    ranks |= {bytes([b]) + _WORD_END: vocabulary[c + end] for b, c in _BYTE.items()}
+    own = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda run: own(run + _WORD_END)
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that lowers case, drops white space and never looks across it.
 
-    Words are kept, and below them the runs of letters, digits and signs that the tokenizer's model sees one at a
-    time. Words of letters that Unicode may fold or compose differently go through the tokenizer whole.
+    A text falls into runs of letters, digits and signs, which the tokenizer's model sees one at a time; their ids are kept. Of texts
+    with letters that Unicode may fold or compose differently, each word is taken by itself, and those with such letters go
+    through the tokenizer whole. What is kept is bounded in bytes; a run that has to be coded again costs little.
     """
 
     def __init__(self, path: str):
@@ -71,32 +118,42 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.words = WordCache(WORDS, self._words)
-        self.runs = WordCache(RUNS, self._runs)
+        self.words = WordCache(WORD_BYTES, self._words)
+        self.runs = WordCache(RUN_BYTES, self._runs)
         own = json.loads(self.tokenizer.to_str())
         self.splits = own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _RUN_PATTERN and [
             x["type"] for x in own["normalizer"]["normalizers"]
         ] == ["NFC", "Replace", "Lowercase"]
+        self.run = rank_coder(own["model"]) or self._by_model
+
+    def _by_model(self, run: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize("".join(map(_BYTE.__getitem__, run)))]
+
+    def clear(self) -> None:
+        self.words.clear()
+        self.runs.clear()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self._raw(words)
-        plain, find = _PLAIN.fullmatch, _RUN.findall
-        found = [find(w.lower()) if plain(w) else None for w in words]
-        have = self.runs.ensure(chain.from_iterable(f for f in found if f))
-        return [self._raw([w])[0] if f is None else b"".join(map(have.__getitem__, f)) for w, f in zip(words, found)]
+        plain = _PLAIN.fullmatch
+        return [self._runs_of(w) if self.splits and plain(w) else self._raw([w])[0] for w in words]
+
+    def _runs_of(self, text: str) -> bytes:
+        return self.runs.join(_RUN.findall(text.lower()))
 
     def _runs(self, runs: list[str]) -> list[bytes]:
-        tokenize = self.model.tokenize
-        shown = (r if r.isascii() else "".join(map(_BYTE.__getitem__, r.encode())) for r in runs)
-        return [array("I", [t.id for t in tokenize(s)]).tobytes() for s in shown]
+        code = self.run
+        return [array("I", code(r.encode())).tobytes() for r in runs]
 
     def encode(self, text: str) -> bytes:
+        return b"".join(map(self._slice, slices(text)))
+
+    def _slice(self, text: str) -> bytes:
+        if self.splits and _PLAIN.fullmatch(text):
+            return self._runs_of(text)
         if _CONTROL.search(text):  # these split words for Python but not for the tokenizer
             return self._raw([text])[0]
         return self.words.join(text.split())
@@ -118,9 +175,10 @@ def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task = load(path), TaskContext.get().partitionId()
+        hold(coder, coder.clear)
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in chunks(batches, ROWS_AT_ONCE):
             rows: list[tuple] = []
             ids: list[np.ndarray] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
