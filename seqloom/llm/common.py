@@ -45,11 +45,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(label, text) of at most ``per_class`` labelled documents for either label, none of them held out.
+    """(doc_id, label, text) of at most ``per_class`` labelled documents for either label, none of them held out.
 
-    The rows are those with the least hash of doc_id, so a rerun takes the same ones. Labels that are null, or that
-    contradict each other for one doc_id, teach nothing. At most ``2 * per_class`` ids are broadcast. Also returns how
-    many usable rows either label has in all.
+    The documents are those with the least hash of doc_id among labelled ones, so a rerun takes the same; of rows that repeat a doc_id one counts, the one whose
+    text has the least hash. Labels that are null, or that contradict each other for one doc_id, teach nothing. At most
+    ``2 * per_class`` ids are broadcast. Also returns how many usable ids either label has in all.
     """
     usable = (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))
@@ -62,7 +62,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, per_cl
     picks = [usable.where(F.col("label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
     chosen = picks[0].unionByName(picks[1])
     text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), prior
+    found = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    return found.agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text")), prior
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ compressed with either; what the bad dictionary needs more than the good one, ov
 normalised difference, with how far the text shrinks at all (endless repetition shrinks alike under both), goes through a logistic calibration fitted on
 labelled text that the dictionaries have not seen.
 
-Dictionaries and calibration come from at most ``per_class`` labelled documents for either label (the bound is a parameter), weighted back to how often
+Dictionaries and calibration come from the whole texts of at most ``per_class`` labelled documents for either label (the bound is a parameter), weighted back to how often
 either label occurs among all labelled rows; every whole text is scored, all of its blocks. Null and empty texts compress to
 nothing either way and get the calibrated score of no difference. Where labels of one kind are missing, every text gets the share of good labels, or 0.5
 without labels. Repeated rows are scored alike; further columns pass through, columns that have the names of results are replaced. An
@@ -29,9 +29,7 @@ from seqloom.llm.common import keep, labelled_sample
 BLOCK = 1024
 SAMPLE_BYTES = 256
 DICTIONARY_BYTES = 400_000
-TRAINING_BYTES = 3_000_000
 LEVEL = 3
-BLOCKS_PER_TEXT = 64
 
 
 def blocks(data: bytes, size: int) -> list[bytes]:
@@ -42,7 +40,6 @@ def dictionary(parts: list[bytes], seed: int = 7) -> bytes:
     """A trained dictionary; raw content where there is too little text to train one."""
     parts = list(parts)
     random.Random(seed).shuffle(parts)
-    parts = parts[: TRAINING_BYTES // SAMPLE_BYTES]
     total = sum(map(len, parts))
     try:
         return zstd.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 4)), parts, k=50, d=6).as_bytes()
@@ -124,21 +121,20 @@ def fit(teach: dict[int, list[bytes]], measured: np.ndarray, prior: dict[int, in
 
 
 def _teaching_blocks(sample: DataFrame) -> dict[int, list[bytes]]:
-    """At most BLOCKS_PER_TEXT blocks of each text, evenly spread over all of it."""
+    """All blocks of the sampled texts, by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = blocks(text.as_py().encode(), SAMPLE_BYTES)
-                step = -(-len(parts) // BLOCKS_PER_TEXT) or 1
-                rows += [(label, p) for p in parts[::step]]
+                rows += [(label, p) for p in blocks(text.as_py().encode(), SAMPLE_BYTES)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "block"]
             )
 
-    rows = sample.select("label", "text").mapInArrow(run, "label int, block binary").collect()
-    return {v: sorted(bytes(r["block"]) for r in rows if r["label"] == v) for v in (0, 1)}
+    got = sample.select("label", "text").mapInArrow(run, "label int, block binary").toArrow()
+    label, block = got.column("label").to_numpy(), got.column("block")
+    return {v: sorted(block.filter(pa.array(label == v)).to_pylist()) for v in (0, 1)}
 
 
 def _measure(sample: DataFrame, good: bytes, bad: bytes) -> np.ndarray:

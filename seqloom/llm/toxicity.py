@@ -4,7 +4,7 @@ Labels exist for documents only. A document is a bag of sentences; a sentence is
 words and the words' first letters; a document is toxic if any sentence is (noisy-or): p = 1 - prod(1 - p_s). The weights are fitted to the documents'
 labels through that formula, so that sentences that make documents toxic get the blame, and the same weights then locate them.
 
-The model is fitted on at most ``per_class`` labelled documents for either label (the bound is a parameter), weighted back to how often
+The model is fitted on all sentences of at most ``per_class`` labelled documents for either label (the bound is a parameter), weighted back to how often
 either label occurs among all labelled rows; every whole text is scored. Null and empty texts, and those without a letter, have no sentence
 and score 0. Where labels of one kind are missing altogether nothing can be learnt and everything scores 0. Contradictory or null labels teach nothing.
 Very long sentences are read in windows of ``WINDOW`` words. Repeated rows are scored alike; further columns pass through, columns that have
@@ -22,14 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqloom.llm.common import chunks, labelled_sample
+from seqloom.llm.common import chunks, hold, labelled_sample
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WINDOW = 50
-LEAST_DOCUMENTS = 3
-#: Of one document, evenly spread, while learning; scoring reads them all.
-TEACHING_SENTENCES = 500
 ROWS_AT_ONCE = 500
 SCALES = (0.8, 1.0, 1.2, 1.5, 1.8, 2.2, 2.6, 3.0)
 SHIFTS = tuple(np.arange(-4, 6.1, 0.5))
@@ -120,7 +117,6 @@ def _bags(sample: DataFrame) -> Bags:
             for text in batch.column(1):
                 own: dict[str, int] = {}
                 said = [set(w) for _, _, w in sentences(text.as_py())]
-                said = said[:: -(-len(said) // TEACHING_SENTENCES) or 1]
                 numbers.append([own.setdefault(w, len(own)) for s in said for w in sorted(s)])
                 counts.append([len(s) for s in said])
                 words.append(list(own))
@@ -148,17 +144,13 @@ def fit(bags: Bags, prior: dict[int, int], epochs: int = 100, rate: float = 0.1,
     n_sentences = len(bags.words_in)
     doc_of_sentence = np.repeat(np.arange(len(y)), bags.sentences_in)
     sentence_of = np.repeat(np.arange(n_sentences), bags.words_in)
-    seen = np.zeros(1 << BITS, np.int32)
-    of_doc = np.split(bags.word, np.cumsum(np.bincount(doc_of_sentence, bags.words_in, len(y)).astype(int))[:-1])
-    for words in of_doc:
-        seen[np.unique(made[np.unique(words)])] += 1
-    known = np.flatnonzero(seen >= LEAST_DOCUMENTS)
-    column_of = np.full(1 << BITS, len(known))  # the last column stands for all rare features and keeps weight 0
+    known = np.unique(made)
+    column_of = np.zeros(1 << BITS, np.int64)
     column_of[known] = np.arange(len(known))
     column = column_of[made]
 
     def per_sentence(w: np.ndarray) -> np.ndarray:
-        of_word = np.append(w, 0.0)[column].sum(1)
+        of_word = w[column].sum(1)
         return np.bincount(sentence_of, of_word[bags.word], n_sentences)
 
     share = np.array([prior.get(v, 1) for v in (0, 1)], float) / np.maximum(np.bincount(y, minlength=2), 1)
@@ -176,7 +168,7 @@ def fit(bags: Bags, prior: dict[int, int], epochs: int = 100, rate: float = 0.1,
         d = np.where(y == 1, -1 / np.expm1(np.minimum(silent, 50)), 1.0) * weight
         g = d[doc_of_sentence] * p
         of_word = np.bincount(bags.word, g[sentence_of], len(column))
-        gw = np.bincount(column.ravel(), np.repeat(of_word, column.shape[1]), len(known) + 1)[:-1] + ridge * w / len(y) * 10
+        gw = np.bincount(column.ravel(), np.repeat(of_word, column.shape[1]), len(known)) + ridge * w / len(y) * 10
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -214,6 +206,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        hold(own, own._words.clear)
         for batch in batches:
             scores, found = [], []
             for text in batch.column(at):
