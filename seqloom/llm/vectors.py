@@ -1,9 +1,9 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison, and nearest neighbours by cross-polytope hashing.
 
 Vectors that are null, zero, or hold null or non-finite components take no part: they link with nothing, are asked for nothing and
-found by nothing. Vectors of another length than most take no part either. Equal vectors are collapsed first and counted, so copies never meet one
+found by nothing. Vectors of different lengths are never compared; those of each length are compared with one another. Equal vectors are collapsed first and counted, so copies never meet one
 another in a task. Rows that repeat an id count once (the least vector stands). Rows with a null id are left out. Further columns are not read. An empty
-table gives no rows.
+table gives no rows. Components of any size that a double can hold are fine: rows are scaled by powers of two before norms are taken.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +35,29 @@ def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return rows
 
 
+def length() -> Column:
+    return F.size("v").alias("d")
+
+
 def most_common_length(rows: DataFrame) -> int:
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    top = rows.groupBy(length()).count().orderBy(F.desc("count"), "d").first()
     return top["d"] if top else 0
 
 
+def blocks_by_length(rows: DataFrame, block_rows: int) -> Column:
+    """How many blocks of about ``block_rows`` the vectors of a row's length fill; lengths that fill one block are not gathered."""
+    many = rows.groupBy(length()).count().where(F.col("count") > block_rows).collect()
+    if not many:
+        return F.lit(1)
+    known = F.create_map(*(F.lit(x) for r in many for x in (r["d"], round(r["count"] / block_rows))))
+    return F.coalesce(F.try_element_at(known, F.size("v")), F.lit(1))
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component between a half and one; exact, so cosines stay as they are."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None]) if len(v) else v
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     flat = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
@@ -59,7 +77,7 @@ def principal_axes(distinct: DataFrame, d: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            x = _matrix(batch.column(0), d)
+            x = scaled(_matrix(batch.column(0), d))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.ravel())], names=["i", "s"])
@@ -75,10 +93,13 @@ def principal_axes(distinct: DataFrame, d: int) -> np.ndarray:
 class Block:
     """Unit vectors in PCA order, with leading parts that carry the norm of what they leave out as one more component."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, n: np.ndarray, axes: np.ndarray):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, n: np.ndarray, axes: np.ndarray | None):
+        v = scaled(v)
         norms = np.linalg.norm(v, axis=1)
         self.ids, self.v, self.n, self.norms = ids, v, n, norms
-        turned = (v / norms[:, None]) @ axes
+        turned = v / norms[:, None]
+        if axes is not None:
+            turned = turned @ axes
         self.leads = []
         for k in STEPS:
             if k < v.shape[1]:
@@ -119,26 +140,25 @@ def tile_links(a: Block, b: Block, same: bool, threshold: float) -> Iterator[tup
 def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per id, of all pairs with cosine >= threshold.
 
-    Blocks of about BLOCK_ROWS distinct vectors are compared pairwise, one task for each pair of blocks; a task gives back counts and a spanning forest of
-    its links, a row for each vector that has one, never the pairs.
+    Blocks of about BLOCK_ROWS distinct vectors of one length are compared pairwise, one task for each pair of blocks; a task gives back counts and a spanning forest of
+    its links, a row for each vector that has one, never the pairs. The axes are those of the most common length; the bounds hold in any
+    order of dimensions, so vectors of other lengths are taken as they come.
     """
     ids = table.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     rows = usable(table, id_col, vector_col)
-    d = most_common_length(rows)
-    rows = rows.where(F.size("v") == d)
     distinct, member = collapse(rows)
-    total = distinct.count()
-    if total == 0:
+    main = most_common_length(distinct)
+    if main == 0:
         return ids.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = table.sparkSession.sparkContext.broadcast(principal_axes(distinct, d))
-    blocks = max(1, round(total / BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("rep"), F.lit(blocks))
+    shared = table.sparkSession.sparkContext.broadcast(principal_axes(distinct.where(F.size("v") == main), main))
+    placed = distinct.select("rep", "v", "n", length(), blocks_by_length(distinct, BLOCK_ROWS).alias("m"))
+    placed = placed.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     # a vector of block k goes to the pairs (i, k) and (k, j)
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "k").alias("i"), F.greatest(o, "k").alias("j"))))
-    spread = distinct.withColumn("k", own.cast("int")).select("rep", "v", "n", "k", pair.alias("p")).select("rep", "v", "n", "k", "p.i", "p.j")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, "k").alias("i"), F.greatest(o, "k").alias("j"))))
+    spread = placed.select("rep", "v", "n", "d", "k", pair.alias("p")).select("rep", "v", "n", "d", "k", "p.i", "p.j")
 
     def compare(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        d, i, j = (group.column(c)[0].as_py() for c in ("d", "i", "j"))
         group = group.combine_chunks()
         k = group.column("k").to_numpy()
         rep, n, v = group.column("rep").to_numpy(), group.column("n").to_numpy(), _matrix(group.column("v"), d)
@@ -146,7 +166,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
         def block(which: int) -> Block:
             at = np.flatnonzero(k == which)
             at = at[np.argsort(rep[at], kind="stable")]
-            return Block(rep[at], v[at], n[at], shared.value)
+            return Block(rep[at], v[at], n[at], shared.value if d == main else None)
 
         a = block(i)
         b = a if i == j else block(j)
@@ -169,7 +189,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
         some = links > 0
         return pa.table({"rep": everyone[some], "links": links[some], "least": least[some]})
 
-    parts = keep(spread.groupBy("i", "j").applyInArrow(compare, "rep long, links long, least long"))
+    parts = keep(spread.groupBy("d", "i", "j").applyInArrow(compare, "rep long, links long, least long"))
     counts = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(parts.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     of_rep = (

@@ -71,9 +71,27 @@ def test_empty_vectors(spark):
     assert vectors.near_duplicates(df.where("vec_id >= 700")).where("n_links > 0 or not kept").count() == 0
 
 
-@pytest.mark.parametrize("block", [8192, 200])
+def test_each_length_is_compared_within_itself_and_tiny_or_huge_components_do_no_harm(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
+    rows = [(i, [float(i == j) for j in range(3)] if i < 3 else [1.0, float(i), 2.0]) for i in range(10)]
+    rows += [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [2.0, 1.0]), (40, [1e-200, 2e-200, 0.0]), (41, [1e200, 2e200, 0.0]), (42, [5e-324, 0.0]), (43, [1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    clean = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in clean.items()}
+    near = {i: {j for j in unit if j != i and len(unit[j]) == len(unit[i]) and unit[i] @ unit[j] >= 0.9} for i in unit}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in near.items()}
+    assert got[20] == got[21] == (1, 20) and got[41] == got[40] and got[43] == (1, 42)
+    found = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, 20).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(x) for q, x in found.items()} == {0: 11, 20: 4, 40: 11}
+    assert found[20][0] == 43 and found[40][0] == 41
+
+
+@pytest.mark.parametrize("block", [16 << 20, 200 * 8 * 24])
 def test_search_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", block)
     monkeypatch.setattr(ann, "QUERY_ROWS", 20)
     df, v, n = fixture(spark)
     hit = total = 0
@@ -111,6 +129,28 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert hit >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize("size,share", [(2000, 0.27), (20_000, 0.14)])
+def test_recall_and_share_of_candidates(size, share):
+    """Uniformly distributed vectors in 64 dimensions: nothing is near, so this is the hardest case."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(size, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    asked = v[:: max(20, size // 200)]
+    index, hit, looked = ann.Index(v), 0, 0
+    for q, at in zip(asked, index.candidates(asked, ann.probes(size), 21)):
+        looked += len(at)
+        hit += len(set(at) & set(np.argpartition(-(v @ q), 21)[:21]))
+    assert hit >= 0.9 * 21 * len(asked) and looked <= share * size * len(asked)
+
+
+def test_rotation_keeps_lengths_and_angles():
+    rng = np.random.default_rng(5)
+    for d in (2, 8, 32, 64):
+        x = rng.normal(size=(9, d)).astype(np.float32)
+        y = ann.rotate(x, 3)
+        assert np.allclose(x @ x.T, y @ y.T, atol=1e-3) and not np.allclose(x, y)
+
+
 # URLs
 
 
