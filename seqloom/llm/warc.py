@@ -5,8 +5,10 @@ records that name it. Every record is a gzip member of its own. Tasks write whol
 storage and rename them, so that a task that runs twice leaves one file.
 
 Reading: a task is given a range of bytes. It looks for the gzip magic inside, takes a place as a record's start only if what follows
-inflates to a WARC header, and owns exactly the records that start inside its range, reading past the end to finish the last one. Magic
-bytes inside compressed data fail that test, as do truncated members.
+inflates to a WARC header and is a whole member, and owns exactly the records that start inside its range, reading past the end to finish the last one.
+Magic bytes inside compressed data fail that test, as do truncated members. Records that lie stored inside another record's payload pass it, though.
+So ranges are searched first for where reading on from any place of theirs would leave them (``exits``), a row or two for each range; from the
+beginning of a file these add up to where each range is really entered, and reading starts there. Archives read the same at every size of range.
 
 Null payloads count as empty; equal payloads and repeated rows are distinct records; a null record id is written as such and read
 back as null. Very long payloads are handled one at a time. Extra columns are not written. An empty table makes no archive and
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,20 +50,17 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 def mark_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     """(page_id, url, html as bytes, digest, first): first is the response's page_id where the payload is stored elsewhere.
 
-    One partial aggregate by digest; only digests that occur twice are joined back. A digest with a third of
-    all rows sits on the left side of an outer join, which Spark splits.
+    One partial aggregate by digest; only digests that occur twice are written and joined back, which moves no payload where Spark finds their table small. Where it
+    is not, a digest with a third of all rows sits on the left side of an outer join, which Spark splits.
     """
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")
-    ).withColumn("digest", F.sha2("html", 256))
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    groups = (
-        slim.where(F.octet_length("html") >= min_revisit)
-        .groupBy(F.sha2("html", 256).alias("digest"))
-        .agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("key", F.unhex(F.sha2("html", 256)))
+    groups = keep(
+        rows.where(F.octet_length("html") >= min_revisit).groupBy("key")
+        .agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("key", "response")
     )
     first = F.when(F.col("page_id") != F.col("response"), F.col("response"))
-    return rows.join(groups, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
+    return rows.join(groups, "key", "left").select("page_id", "url", "html", F.lower(F.hex("key")).alias("digest"), first.alias("first"))
 
 
 def _member(kind: str, page_id: int | None, uri: str | None, payload: bytes, digest: str, size: int, refers: int | None, level: int) -> bytes:
@@ -139,25 +139,61 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes] | None:
     return (fields, rest[:size]) if 0 <= size <= len(rest) else None
 
 
-def records_in(file: pa.NativeFile, size: int, start: int, stop: int, window: int = 1 << 22) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """The records that start in [start, stop), with where they start."""
+def _magics(file: pa.NativeFile, start: int, stop: int, window: int) -> Iterator[int]:
+    """Places of the gzip magic in [start, stop); after one, a place to go on from may be sent, and what lies before it isn't read."""
     at = start
-    while at < min(stop, size):
-        data = file.read_at(min(window, min(stop, size) - at) + len(MAGIC) - 1, at)
-        found, after = data.find(MAGIC), at + window
-        while found >= 0:
-            place, on = at + found, found + 1
-            if place >= stop:
-                return
-            head = _inflate(file, place, 7, 256)
-            if head is not None and head[0].startswith(b"WARC/1."):
-                whole = _inflate(file, place)
-                if whole is not None and (record := parse(whole[0])):
-                    yield place, *record
-                    on = whole[1] - at  # what a record holds is not searched
-                    after = max(after, whole[1])
-            found = data.find(MAGIC, on)
-        at = after
+    while at < stop:
+        data = file.read_at(min(window, stop - at) + len(MAGIC) - 1, at)
+        found = data.find(MAGIC)
+        while found >= 0 and at + found < stop:
+            on = yield at + found
+            after = max(found + 1, (on or 0) - at)
+            found = data.find(MAGIC, after) if after < len(data) else -1
+            if after > window:
+                break
+        else:
+            after = window
+        at += max(after, window)
+
+
+def _record(file: pa.NativeFile, place: int) -> tuple[dict[str, str], bytes, int] | None:
+    """(fields, block, end) of the record whose member starts at ``place``."""
+    head = _inflate(file, place, 7, 256)
+    if head is None or not head[0].startswith(b"WARC/1."):
+        return None
+    whole = _inflate(file, place)
+    record = whole and parse(whole[0])
+    return (*record, whole[1]) if record else None
+
+
+def records_in(file: pa.NativeFile, size: int, start: int, stop: int, window: int = 1 << 22) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """The records that reading on from ``start`` meets before ``stop``, with where they start; what a record holds is not searched."""
+    places = _magics(file, start, min(stop, size), window)
+    place = next(places, None)
+    while place is not None:
+        record = _record(file, place)
+        if record:
+            yield place, *record[:2]
+        try:
+            place = places.send(record[2] if record else None)
+        except StopIteration:
+            return
+
+
+def exits(file: pa.NativeFile, size: int, start: int, stop: int, window: int = 1 << 22) -> list[tuple[int, int]]:
+    """(last, exit), ascending: reading on from any place up to ``last``, after the one before, leaves [start, stop) at ``exit``."""
+    stop = min(stop, size)
+    found = [(p, r[2]) for p in _magics(file, start, stop, window) if (r := _record(file, p))]
+    out: list[tuple[int, int]] = [(stop, stop)]
+    leave: list[int] = []
+    places = [p for p, _ in found]
+    for place, end in reversed(found):
+        after = len(places) - bisect_left(places, end)  # records from the next one met to the last
+        leave.append(end if end >= stop else leave[after - 1] if after else stop)
+        if leave[-1] == out[-1][1]:
+            continue
+        out.append((place, leave[-1]))
+    return out[::-1]
 
 
 def _rows_in(fs: pafs.FileSystem, path: str, shown: str, size: int, start: int, stop: int, payload: bool) -> Iterator[tuple]:
@@ -173,19 +209,54 @@ def _rows_in(fs: pafs.FileSystem, path: str, shown: str, size: int, start: int,
             yield kind, number(fields.get("x-page-id")), fields.get("warc-target-uri"), length, digest, refers, block if payload else None, shown, at
 
 
+def entries(starts: list[int], last: list[list[int]], leaves: list[list[int]], split_bytes: int) -> list[int]:
+    """Where each range of a file is entered, given its ``exits``; at or after its end if a record covers all of it."""
+    at, out = 0, []
+    for start, places, leave in zip(starts, last, leaves):
+        out.append(max(at, start))
+        if out[-1] < start + split_bytes:
+            at = leave[bisect_left(places, out[-1])]
+    return out
+
+
+def _entered(ranges: DataFrame, split_bytes: int) -> DataFrame:
+    """(file, bytes, start, entry): where reading from the beginning of the file enters each range; a row for each range goes to one task a file."""
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shown, size, start in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, path = open_fs(shown)
+                with fs.open_input_file(path) as file:
+                    out.append(exits(file, size, start, start + split_bytes))
+            last = pa.array([[x for x, _ in o] for o in out], pa.list_(pa.int64()))
+            leaves = pa.array([[x for _, x in o] for o in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, last, leaves], names=[*batch.schema.names, "last", "leaves"])
+
+    def follow(group: pa.Table) -> pa.Table:
+        group = group.sort_by("start")
+        found = entries(*(group.column(c).to_pylist() for c in ("start", "last", "leaves")), split_bytes)
+        return group.select(["file", "bytes", "start"]).append_column("entry", pa.array(found, pa.int64()))
+
+    found = keep(ranges.mapInArrow(leave, "file string, bytes long, start long, last array<long>, leaves array<long>"))
+    return found.groupBy("file").applyInArrow(follow, "file string, bytes long, start long, entry long")
+
+
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """Records of the archives in ``files`` (file, bytes), read by ranges of ``split_bytes``."""
-    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).alias("n")).first()["n"]
-    spread = ranges.repartition(max(1, min(int(tasks), MOST_TASKS)), "file", "start")  # a given number isn't coalesced: the rows are small, the ranges aren't
+    # a given number isn't coalesced: the rows are small, the ranges aren't
+    spread = lambda df: df.repartition(max(1, min(int(tasks), MOST_TASKS)), "file", "start")
+    entered = _entered(spread(files.select("file", "bytes", F.explode(starts).alias("start"))), split_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
         for f in frames:
-            for shown, size, start in f.itertuples(index=False):
+            for shown, size, start, entry in f.itertuples(index=False):
                 fs, path = open_fs(shown)
                 rows, held = [], 0
-                for row in _rows_in(fs, path, shown, size, start, start + split_bytes, payload):
+                for row in _rows_in(fs, path, shown, size, entry, start + split_bytes, payload):
                     rows.append(row)
                     held += len(row[6] or b"") + 200
                     if held > 16 << 20:
@@ -194,7 +265,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True)
                 if rows:
                     yield _frame(rows, names)
 
-    return spread.mapInPandas(run, RECORD)
+    return spread(entered).mapInPandas(run, RECORD)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -267,22 +267,56 @@ def test_archives_round_trip(spark, split):
     assert all(body[p] == (h or "").encode() for p, _, h in rows if p in body)
 
 
-def test_magic_inside_a_record_is_no_record(tmp_path):
-    inner = b"\x1f\x8b\x08" * 20 + warc._member("response", 9, "u", b"inner", "0" * 64, 5, None, 1)
-    pack = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored, so that the inner member's bytes stand in the file
-    head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 1\r\nContent-Length: %d\r\n\r\n" % len(inner)
-    outer = pack.compress(head + inner + b"\r\n\r\n") + pack.flush()
-    tail = warc._member("response", 2, "u", b"second", "0" * 64, 6, None, 1)
+def stored(page, payload):
+    """A member whose payload stands in the file as it is."""
+    pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (page, len(payload))
+    return pack.compress(head + payload + b"\r\n\r\n") + pack.flush()
+
+
+def archive():
+    member = lambda i, body: warc._member("response", i, "u", body, "0" * 64, len(body), None, 1)
+    inner = b"\x1f\x8b\x08" * 20 + member(9, b"inner") + member(10, b"another") + member(11, b"third")
+    deep = stored(12, member(13, b"deep") + b"x" * 90 + stored(14, member(15, b"deeper")))
+    second = bytes(range(256)) * 3
+    parts = [b"junk\x1f\x8b\x08", stored(1, inner), member(2, second), b"\0\0", deep, stored(3, inner)[:-10], member(4, b"last"), b"\x1f\x8b\x08cut"]
+    # of the truncated member 3 nothing is left but what lies in it, whichever way it is read
+    want = [(1, inner), (2, second), (12, deep[deep.index(b"\r\n\r\n") + 4 : -12])]
+    return b"".join(parts), want, [(9, b"inner"), (10, b"another"), (11, b"third"), (4, b"last")]
+
+
+def test_records_within_records_are_no_records_at_any_range(tmp_path):
+    data, want, rest = archive()
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(b"junk" + outer + tail + b"\x1f\x8b\x08cut")
+    path.write_bytes(data)
     fs, p = warc.open_fs(str(path))
-    size = path.stat().st_size
-    with fs.open_input_file(p) as f:
-        found = [r for a in range(0, size, 50) for r in warc.records_in(f, size, a, a + 50)]
-    with fs.open_input_file(p) as f:
-        whole = list(warc.records_in(f, size, 0, size))
-    assert [(r[1]["x-page-id"], r[2]) for r in whole] == [("1", inner), ("2", b"second")]
-    assert [(r[1]["x-page-id"], r[2]) for r in found if r[1]["x-page-id"] != "9"] == [("1", inner), ("2", b"second")]
+    for split in (1, 7, 50, 333, 700, len(data)):
+        for window in (5, 64, 1 << 20):
+            if window == 64 or split > 7:
+                with fs.open_input_file(p) as f:
+                    starts = list(range(0, len(data), split))
+                    leave = [warc.exits(f, len(data), a, a + split, window) for a in starts]
+                    entry = warc.entries(starts, [[x for x, _ in e] for e in leave], [[x for _, x in e] for e in leave], split)
+                    found = [r for a, e in zip(starts, entry) for r in warc.records_in(f, len(data), e, a + split, window)]
+                got = [(int(r[1]["x-page-id"]), r[2]) for r in found]
+                assert [g[0] for g in got] == [1, 2, 12, 9, 10, 11, 4]
+                assert got[:2] == want[:2] and got[3:] == rest
+
+
+def test_ranges_of_a_file_read_alike(spark, tmp_path):
+    data, _, _ = archive()
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(data))], "file string, bytes long")
+    for split in (50, 1 << 20):
+        assert sorted(r["page_id"] for r in warc.read(files, split).collect()) == [1, 2, 4, 9, 10, 11, 12]
+
+
+def test_a_very_long_payload_is_read_over_many_ranges(spark):
+    rng = random.Random(8)
+    long = "".join(chr(rng.randrange(32, 0x3000)) for _ in range(400_000))
+    df = spark.createDataFrame([(1, "u", "short"), (2, "u", long), (3, "u", long), (4, "u", "end")], "page_id long, url string, html string").coalesce(1)
+    out = {r["page_id"]: r for r in warc.round_trip(df, split_bytes=10_000).collect()}
+    assert len(out) == 4 and bytes(out[2]["payload"]).decode() == long and out[3]["refers_to"] == 2 and out[3]["payload_bytes"] == len(long.encode())
 
 
 def test_empty_archives(spark):
