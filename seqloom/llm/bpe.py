@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seqloom.llm.common import WordCache, chunks
+from seqloom.llm.common import WordCache, chunks, hold
 
 #: White space as Unicode has it, which is what the split pattern's ``\s`` stands for.
 WHITE = "\t-\r \x85\xa0  -     　"
-LEAF_BYTES = 8
+LEAF_BYTES, LEAF_TOKENS = 8, 512
 LEAVES = 80_000
 SLICE_CHARS = 1 << 20
-UNITS, MATCHES = 250_000, 150_000
+UNIT_BYTES, MATCH_BYTES = 60 << 20, 36 << 20
 ROWS_AT_ONCE = 500
 _ODD_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -55,8 +55,12 @@ class TreeBPE:
         self.listed[list(self.token)] = list(self.token.values())
         self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
         self.leaves: dict[bytes, tuple[int, ...]] = {}
-        self.units = WordCache(UNITS, self._units)
-        self.matches = WordCache(MATCHES, self._matches)
+        self.units = WordCache(UNIT_BYTES, self._units)
+        self.matches = WordCache(MATCH_BYTES, self._matches)
+
+    def clear(self) -> None:
+        for table in (self.units, self.matches, self.pairs, self.leaves):
+            table.clear()
 
     # one match of the pattern
 
@@ -179,8 +183,11 @@ class TreeBPE:
         return [array("i", self.encode_piece(m.encode())).tobytes() for m in matches]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Concatenation up the tree; join() does all levels at once."""
-        return b"".join(self.listed[ids].tolist())
+        """Halves recursively; the bytes of short runs of tokens are concatenated up the tree."""
+        if len(ids) <= LEAF_TOKENS:
+            return b"".join(self.listed[ids].tolist())
+        middle = len(ids) // 2
+        return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 def uneven(text: str) -> bool:
@@ -228,6 +235,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
+        hold(coder, coder.clear)
         for batch in chunks(batches, ROWS_AT_ONCE):
             coded = [coder.encode(t.as_py() or "") for t in batch.column(text_col)]
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
@@ -247,6 +255,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, none = load(path, pattern), np.zeros(0, np.int32)
+        hold(coder, coder.clear)
         for batch in chunks(batches, ROWS_AT_ONCE):
             out = [coder.decode(x.values.to_numpy() if x.is_valid else none) for x in batch.column("ids")]
             yield _with(batch, "decoded", pa.array(out, pa.binary()))
