@@ -13,8 +13,8 @@ as linked pairs do, and crowded buckets are worked through in blocks that give b
 within one class need not be compared; none across classes is left out but for what banding and the registers miss (about 6 in 100,000 at the
 threshold, fewer above).
 
-Null and empty texts, and those of white space only, are alike to nothing: each is a class of its own. Rows that repeat a doc_id count as one document; rows
-with a null doc_id are left out. Very long texts are shingled in slices. Columns other than doc_id and text are not read. An empty table gives no rows.
+Null and empty texts, and those of white space only, are alike to nothing: each is a class of its own. To classes(), rows that repeat a doc_id are one document, the
+one whose text has the least hash (a null text only if there is no other), and rows with a null doc_id are left out. deduplicate() takes every row as a document of its own, whatever its doc_id. Very long texts are shingled in slices. Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,14 +135,31 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (x_from / x + (y_only + y_before) / y)).sum())
 
 
+def _hashed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, h), h being null for null texts only."""
+    h = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h")
+    return documents.select(F.col("doc_id").cast("long"), "text", h).where("doc_id is not null")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(doc_id, least) of ids that occur more than once, least being the least h; written."""
+    return keep(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1").drop("n"))
+
+
+def _chosen(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` without those that stand behind another of the same doc_id; those that stay for one doc_id are equal."""
+    marked = rows.join(repeated.withColumn("again", F.lit(True)), "doc_id", "left")
+    return marked.where(F.col("again").isNull() | F.col("h").eqNullSafe(F.col("least"))).select(*rows.columns)
+
+
 def sketch(documents: DataFrame) -> DataFrame:
-    """(doc_id, same, bands, registers): same is equal for equal multisets, null where there is no word."""
-    kind = "doc_id long, same binary, bands array<long>, registers binary"
+    """(doc_id, h, same, bands, registers): same is equal for equal multisets, null where there is no word."""
+    kind = "doc_id long, h long, same binary, bands array<long>, registers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, ROWS_AT_ONCE):
             same, bands, registers = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes, counts = shingles(text.as_py() or "")
                 if not len(hashes):
                     same.append(None), bands.append(None), registers.append(None)
@@ -151,10 +168,10 @@ def sketch(documents: DataFrame) -> DataFrame:
                 same.append(hashlib.blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(holder))
                 registers.append((holder & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "bands", "registers"])
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "same", "bands", "registers"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, kind)
+    return _hashed(documents).select("doc_id", "h", "text").mapInArrow(run, kind)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -270,6 +287,8 @@ def _star(cells: DataFrame, order: Column) -> DataFrame:
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept), one row per doc_id: class_id is the least doc_id of the class, and that document is kept."""
     sketches = keep(sketch(documents))
+    repeated = _repeated(sketches)
+    sketches = _chosen(sketches, repeated)
     # equal multisets
     known = sketches.where("same is not null")
     copied = keep(known.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"))
@@ -281,9 +300,8 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = keep(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     cells = keep(cells.join(shared, "bucket").select("bucket", "doc_id", "n"))
     central = cells.groupBy("doc_id").agg(F.sum("n").alias("central"))
-    texts = keep(
-        documents.select(F.col("doc_id").cast("long"), "text").join(central.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    )
+    texts = _chosen(_hashed(documents).join(central.select("doc_id"), "doc_id", "left_semi"), repeated).select("doc_id", "text")
+    texts = keep(texts.dropDuplicates(["doc_id"]))
     cells = keep(cells.join(central, "doc_id").withColumn("class", F.col("doc_id")))
     # every document against one leader: first the most central, then, across classes, others
     links = _verify(_star(cells, F.col("central")), texts, threshold)
@@ -309,6 +327,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, whole, one row for each."""
-    kept = classes(documents, threshold).where("kept").select("doc_id")
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    """One row of each class, whole: the one with the least doc_id (a null one last). Rows are told apart by a key of their own, written with them."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = keep(documents.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("key")))
+    found = classes(rows.select(F.col("key").alias("doc_id"), "row.text"), threshold).select(F.col("doc_id").alias("key"), "class_id")
+    own = rows.select("key", F.col("row.doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    kept = found.join(own, "key").groupBy("class_id").agg(F.min(order).alias("first")).select("first.key")
+    return rows.join(keep(kept), "key", "left_semi").select("row.*")

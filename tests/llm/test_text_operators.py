@@ -158,8 +158,29 @@ def test_classes_of_odd_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 8: 8, 9: 8}
     kept = neardup.deduplicate(documents(spark, rows)).collect()
-    assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4, 8]
-    assert neardup.classes(documents(spark, [])).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "no id"), (1, ""), (2, ""), (3, "   \n\t "), (4, ODD[4][1]), (8, "Same words  here for all of us")]
+    assert neardup.classes(documents(spark, [])).count() == 0 == neardup.deduplicate(documents(spark, [])).count()
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(15)
+    long = [" ".join(words(rng, 60)) for _ in range(3)]
+    rows = [(7, t, None, None, None) for t in (long[0], long[1], None, long[1])] + [(8, long[0], None, None, None), (9, long[1], None, None, None), (6, None, None, None, None)]
+    rows += [(None, long[2], None, None, None), (None, long[2] + " more", None, None, None)]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        df = documents(spark, order).repartition(3)
+        seen.add(tuple(sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(df).collect())))
+        kept = sorted(map(repr, ((r["doc_id"], r["text"]) for r in neardup.deduplicate(df.withColumn("key", F.lit("k")).withColumn("row", F.lit(1))).collect())))
+        assert [k for k in kept if "None" not in k] == sorted(map(repr, [(7, long[0]), (7, long[1])]))
+        assert len(kept) == 5 and "(6, None)" in kept and "(7, None)" in kept and kept[-1].startswith(f"(None, '{long[2]}")
+    assert seen in ({((6, 6), (7, 7), (8, 7), (9, 9))}, {((6, 6), (7, 7), (8, 8), (9, 7))})
+
+
+def test_registered_near_duplicates_match_brute_force(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in queries.op2_minhash_near_dedup(spark, sf_dir).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) < len(got)
 
 
 def test_registers_estimate_the_similarity():
