@@ -33,10 +33,12 @@ _CHECKPOINT = "spark.checkpoint.dir"
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that the whole cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests, a local temporary folder is chosen.
+    Where that setting is missing, a local temporary folder is chosen if Spark runs in one process, as in tests; on a cluster that is refused.
     """
     base = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{_CHECKPOINT} has to name a folder that all of the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set(_CHECKPOINT, base)
     # with its scheme, so that code outside Spark means the same place

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import bitmath as bm
+from seqloom.functions.runtime import scratch
 
 DEFAULT_SIZE = 32000
 
@@ -26,21 +27,22 @@ def scaled(value: Column, decimals: int) -> Column:
     return F.round(value * 10**decimals).cast("bigint")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], width: int = 4096) -> DataFrame:
-    """``df`` with pos, the rank of each row by ``order``, whose first column is the integer ``key``.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with pos, the rank of each row by ``order``, written once.
 
-    Ranks come from windows over ranges of ``width`` keys plus the counts of the ranges before, which are added up on two levels; no window runs over all
-    rows, and the only one over everything sees a row for each width**2 keys.
+    Rows are ranged over partitions by all of ``order`` and numbered within them; counts of the partitions before are added. A value of the first column that
+    a third of all rows share is cut by the next column, and no window runs over all rows. Rows equal in all of ``order`` come in any order.
     """
-    wide = F.col(key).cast("bigint")
-    rows = df.withColumn("_r", F.floor(wide / width)).withColumn("_s", F.floor(F.col("_r") / width))
-    counts = rows.groupBy("_s", "_r").agg(F.count("*").alias("_n"))
-    coarse = counts.groupBy("_s").agg(F.sum("_n").alias("_n"))
-    coarse = coarse.select("_s", F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
-    fine = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    offsets = fine.join(coarse, "_s").select("_r", (F.col("_a") + F.col("_b")).alias("_offset"))
-    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy("_r").orderBy(*order)))
-    return ranked.join(offsets, "_r").withColumn("pos", (F.col("_offset") + F.col("_k") - 1).cast("bigint")).drop("_r", "_s", "_k", "_offset")
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    path = scratch(spark)
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    rows = rows.withColumn("_p", F.shiftright("_id", 33)).withColumn("_k", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, "_p").withColumn("pos", (F.col("_offset") + F.col("_k")).cast("bigint")).drop("_id", "_p", "_k", "_offset")
 
 
 def stats(seq: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
@@ -55,7 +57,19 @@ def frame(seq: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
 
     One exchange and one sort serve all of it.
     """
-    rows = seq.withColumn("part", F.expr(f"pos div {size}")).withColumn("i", F.expr(f"pos % {size}"))
+    return framed(seq.withColumn("part", F.expr(f"pos div {size}")).withColumn("i", F.expr(f"pos % {size}")))
+
+
+def frames(seq: DataFrame, sizes: list[int]) -> DataFrame:
+    """The frames of several block sizes at once; part is the size's place in ``sizes`` times 2**40, plus the block."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(n).cast("bigint").alias("n")) for k, n in enumerate(sizes)))).alias("_s")
+    rows = seq.select("*", each)
+    part = F.col("_s.k") * (1 << 40) + F.expr("pos div _s.n")
+    return framed(rows.select("pos", "value", part.alias("part"), F.expr("pos % _s.n").alias("i")))
+
+
+def framed(rows: DataFrame) -> DataFrame:
+    """A frame of (part, pos, i, value)."""
     block, order = W.partitionBy("part"), W.partitionBy("part").orderBy("pos")
     rows = rows.select(
         "part", "pos", "i", "value", F.count("*").over(block).alias("n"), F.min("value").over(block).alias("base"),

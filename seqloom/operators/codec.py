@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import bitmath as bm
 from seqloom.operators import gaps, split
@@ -44,14 +45,19 @@ def encode(frame: DataFrame, choice: DataFrame, variant: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame) -> DataFrame:
-    """(part, i, value) by prefix sums: since the last element in full, the gaps add up. One window by block, no loop."""
+    """(part, i, value) by prefix sums: since the last element in full, the gaps add up. One window by block, no loop. Decimal values stay decimal."""
     order = W.partitionBy("part").orderBy("i")
     step = F.when(F.col("reversed"), -F.col("gap")).otherwise(F.col("gap"))
     rows = encoded.withColumn("sofar", F.sum(F.coalesce(step, F.lit(0))).over(order))
     anchor = F.last(F.col("high") - F.when(F.col("high").isNotNull(), F.col("sofar")), ignorenulls=True).over(order)
     hi = F.coalesce(anchor, F.lit(0)) + F.col("sofar")
     value = F.when(F.col("h") == 0, F.col("base") + F.col("low")).otherwise(bm.recombine(F.col("base"), hi, F.col("low"), F.col("b")))
-    return rows.select("part", "i", value.cast("bigint").alias("value"))
+    return rows.select("part", "i", value.cast(_kind(encoded)).alias("value"))
+
+
+def _kind(encoded: DataFrame) -> T.DataType:
+    kind = encoded.schema["base"].dataType
+    return kind if isinstance(kind, T.DecimalType) else T.LongType()
 
 
 def components(encoded: DataFrame, variant: str) -> DataFrame:
@@ -79,6 +85,8 @@ def components(encoded: DataFrame, variant: str) -> DataFrame:
 
 def compress(frame: DataFrame, variant: str = "bstar", strategy: str = "optimal") -> DataFrame:
     """Chooses and encodes. variant: rle, u, b, bstar; strategy: optimal or approximate (rle has the first only)."""
+    if (variant, strategy) not in split.CHOOSERS:
+        raise ValueError(f"no {strategy} choice for the variant {variant}")
     return encode(frame, split.CHOOSERS[variant, strategy](frame), variant)
 
 
@@ -92,4 +100,4 @@ def encode_classic(frame: DataFrame, stats: DataFrame) -> DataFrame:
 
 def decode_classic(encoded: DataFrame) -> DataFrame:
     hi = F.sum("gap").over(W.partitionBy("part").orderBy("i"))
-    return encoded.select("part", "i", bm.recombine(F.col("base"), hi, F.col("low"), F.col("b")).cast("bigint").alias("value"))
+    return encoded.select("part", "i", bm.recombine(F.col("base"), hi, F.col("low"), F.col("b")).cast(_kind(encoded)).alias("value"))

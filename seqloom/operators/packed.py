@@ -1,16 +1,19 @@
 """The packed tier: one row per block, its components as bit-packed binaries, encoded and decoded in Arrow batches.
 
-A block is a row of fixed bound, so tasks hold one block's elements at a time. Bits are numbered from the least significant of the first byte on.
+A block is a row of fixed bound, so tasks hold one block's elements at a time. Bits are numbered from the least significant of the first byte on. Unsigned 64-bit
+values, as decimal(20,0), are held less 2**63; whoever decodes says that they are unsigned, as ``store`` does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.runtime import ship
 from seqloom.operators.blocks import DEFAULT_SIZE
@@ -79,10 +82,74 @@ def statistics(x: np.ndarray, splits: np.ndarray, bits: int, rule: str) -> dict[
     return out
 
 
-def choose(x: np.ndarray, variant: str) -> tuple[int, int, bool]:
-    """(total_bits, b, reversed): the optimal choice, by the same costs and ties as ``split``."""
+def _clamped(v: float, bits: int) -> int:
+    """Rounded half away from zero, within [0, bits]."""
+    return min(bits, max(0, int(np.floor(v + 0.5)) if v >= 0 else -int(np.floor(0.5 - v))))
+
+
+def choose_approximate(x: np.ndarray, variant: str) -> tuple[int, int, bool]:
+    """(total_bits, b, reversed): the choice between the split points next to the estimate, by the same costs and ties as ``split``."""
+    n, bits = len(x), max(1, int(x.max()).bit_length())
+    g = np.diff(x, prepend=0) if n >= 2 else np.zeros(0, np.int64)
+    up, down = int(g[g > 0].sum()), -int(g[g < 0].sum())
+    estimate = np.log2(np.log(2) * (up + down) / n) if up + down else None
+    if variant == "bstar":
+        sure = estimate is None or np.floor(estimate) == np.ceil(estimate)
+        low, high = (min(bits, max(0, int(f(estimate)))) if estimate is not None else 0 for f in (np.floor, np.ceil))
+        splits = np.array(sorted({low, max(low, high)}))
+        s = statistics(x, splits, bits, "none") if n >= 2 or not sure else {"pos": np.ones(len(splits), np.int64), "neg": np.zeros(len(splits), np.int64), "up": x[0] >> splits, "down": np.zeros(len(splits), np.int64)}
+        best, cost = int(np.argmin(c := _cost_all_gaps(s, splits, bits))), c
+        return (bits, bits, False) if not sure and PLAIN_FIELDS["bstar"] + _bytes(n * bits) < cost[best] else (bits, int(splits[best]), False)
+    if variant == "u":
+        whole = up // n
+        low, high = (_clamped(np.log2(whole) + k, bits) if whole else 0 for k in (0, 1))
+    else:
+        low, high = (_clamped(estimate + k, bits) if estimate is not None else 0 for k in (0, 1))
+    splits, plain = np.array([low, high]), _bytes(n * bits) + PLAIN_FIELDS[variant]
+    s = statistics(x, splits, bits, "one" if variant == "u" else "two")
+    if variant == "b":
+        cost = _cost_two_way(s, splits, n, bits)
+        best = int(np.argmin(cost))
+        return (bits, bits, False) if plain < cost[best] else (bits, int(splits[best]), False)
+    both = _cost_one_way(s, splits, n, bits)
+    best = int(np.argmin(both))
+    return (bits, bits, False) if plain < both[:2].min() or plain < both[best] else (bits, int(splits[best // 2]), bool(best % 2))
+
+
+#: Bytes of an element and of a block's own fields.
+PLAIN_FIELDS = {"u": 11, "b": 10, "bstar": 10}
+
+
+def _cost_all_gaps(s: dict[str, np.ndarray], splits: np.ndarray, bits: int) -> np.ndarray:
+    count = s["pos"] + s["neg"]
+    cost = 10 + _bytes(count * splits) + np.where(splits < bits, _bytes(s["up"] + count) + _bytes(s["down"] + count), 0)
+    return np.where(count == 0, 10, cost)
+
+
+def _cost_split(splits: np.ndarray, n: int, bits: int, fields: int, exc: np.ndarray, *sums: np.ndarray) -> np.ndarray:
+    parts = _bytes(n * splits) + _bytes(exc * (bits - splits)) + _bytes(n) + sum(_bytes(t + n - exc) for t in sums) + fields
+    return np.where((splits >= bits) | (exc == 0) | (exc > n), _bytes(n * bits) + fields, parts)
+
+
+def _cost_two_way(s: dict[str, np.ndarray], splits: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return _cost_split(splits, n, bits, PLAIN_FIELDS["b"], s["pe"] + s["ne"], s["upx"], s["downx"])
+
+
+def _cost_one_way(s: dict[str, np.ndarray], splits: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Upwards and reversed by turns."""
+    ahead = _cost_split(splits, n, bits, PLAIN_FIELDS["u"], s["pe"] + s["neg"], s["upx"])
+    back = _cost_split(splits, n, bits, PLAIN_FIELDS["u"], s["pos"] - s["zero"] + s["ne"], s["downx"])
+    return np.column_stack([ahead, back]).ravel()
+
+
+def choose(x: np.ndarray, variant: str, strategy: str = "optimal") -> tuple[int, int, bool]:
+    """(total_bits, b, reversed), by the same costs and ties as ``split``."""
+    if variant not in ("rle", "u", "b", "bstar") or strategy not in ("optimal", "approximate") or (variant, strategy) == ("rle", "approximate"):
+        raise ValueError(f"no {strategy} choice for the variant {variant}")
     n, top = len(x), int(x.max()) if len(x) else 0
     bits = max(1, top.bit_length())
+    if strategy == "approximate":
+        return choose_approximate(x, variant)
     if variant == "rle":
         bits = 1 if top == 0 else (top + 1).bit_length()
         same = np.array([bits] * (n - 1))
@@ -106,35 +173,44 @@ def choose(x: np.ndarray, variant: str) -> tuple[int, int, bool]:
         hi = max(0, min(bits, int(np.ceil(est)) + 3)) if est is not None else 0
         splits = np.arange(min(lo, bits), max(hi, min(lo, bits)) + 1)
         s = statistics(x, splits, bits, "none")
-        count = s["pos"] + s["neg"]
-        cost = 10 + _bytes(count * splits) + np.where(splits < bits, _bytes(s["up"] + count) + _bytes(s["down"] + count), 0)
-        cost = np.where(count == 0, 10, cost)
+        cost = _cost_all_gaps(s, splits, bits)
         best = int(np.argmin(cost))
         return (bits, bits, False) if 10 + _bytes(n * bits) < cost[best] else (bits, int(splits[best]), False)
     splits = np.arange(1, bits)
-    fields = 11 if variant == "u" else 10
-    plain = _bytes(n * bits) + fields
+    plain = _bytes(n * bits) + PLAIN_FIELDS[variant]
     if not len(splits):
         return bits, bits, False
     s = statistics(x, splits, bits, "one" if variant == "u" else "two")
-
-    def cost_of(exc, *sums):
-        parts = _bytes(n * splits) + _bytes(exc * (bits - splits)) + _bytes(n) + sum(_bytes(t + n - exc) for t in sums) + fields
-        return np.where((exc == 0) | (exc > n), plain, parts)
-
     if variant == "b":
-        cost = cost_of(s["pe"] + s["ne"], s["upx"], s["downx"])
+        cost = _cost_two_way(s, splits, n, bits)
         best = int(np.argmin(cost))
         return (bits, int(splits[best]), False) if cost[best] < plain else (bits, bits, False)
-    both = np.column_stack([cost_of(s["pe"] + s["neg"], s["upx"]), cost_of(s["pos"] - s["zero"] + s["ne"], s["downx"])]).ravel()
+    both = _cost_one_way(s, splits, n, bits)
     best = int(np.argmin(both))
     return (bits, int(splits[best // 2]), bool(best % 2)) if both[best] < plain else (bits, bits, False)
 
 
-def encode_block(values: np.ndarray, variant: str) -> dict:
+def _classic(values: np.ndarray) -> dict:
+    """Monotone blocks: low parts, and steps of the high parts in unary."""
+    base = int(values[0])
+    x = values - base
+    if len(x) > 1 and (np.diff(x) < 0).any():
+        raise ValueError("the classic variant takes monotone blocks")
+    bits = max(1, int(x[-1]).bit_length())
+    mean = (int(x[-1]) + 1) // len(x)
+    b = 0 if mean <= 1 else min(bits, mean.bit_length() - 1)
+    row = {"base": base, "n": len(x), "total_bits": bits, "b": b, "h": bits - b, "reversed": False, "high": b"", "flags": b"", "down": b""}
+    return row | {"low": pack_ints(x & ((1 << b) - 1), b), "up": pack_unary(np.diff(x >> b, prepend=0))}
+
+
+def encode_block(values: np.ndarray, variant: str, strategy: str = "optimal") -> dict:
+    if variant == "classic":
+        return _classic(values)
     base = int(values.min())
+    if int(values.max()) - base >= 1 << 63:
+        raise OverflowError("the range of a block exceeds 63 bits")
     x = values - base
-    bits, b, rev = choose(x, variant)
+    bits, b, rev = choose(x, variant, strategy)
     h = bits - b
     row = {"base": base, "n": len(x), "total_bits": bits, "b": b, "h": h, "reversed": rev, "high": b"", "flags": b"", "up": b"", "down": b""}
     row["low"] = pack_ints(x & ((1 << b) - 1) if b < 63 else x, b)
@@ -158,7 +234,11 @@ def encode_block(values: np.ndarray, variant: str) -> dict:
 
 def decode_block(row: dict, variant: str) -> np.ndarray:
     n, b, h = row["n"], row["b"], row["h"]
+    if not 0 <= b < 65:
+        raise ValueError(f"no split point {b} of 64-bit values")
     low = unpack_ints(row["low"], b, n)
+    if variant == "classic":
+        return row["base"] + (low | np.cumsum(unpack_unary(row["up"], n)) << b)
     if h == 0:
         return row["base"] + low
     if variant == "bstar":
@@ -180,21 +260,36 @@ def decode_block(row: dict, variant: str) -> np.ndarray:
     return row["base"] + (low | (full[which] + sums - sums[at][which]) << b)
 
 
-def encode(seq: DataFrame, variant: str = "bstar", size: int = DEFAULT_SIZE) -> DataFrame:
-    """Block rows of (pos, value): one exchange by block, then one task packs whole blocks."""
+#: What unsigned values are held less.
+BIAS = 1 << 63
+
+
+def is_unsigned(seq: DataFrame) -> bool:
+    return isinstance(seq.schema["value"].dataType, T.DecimalType)
+
+
+def _as_read(df: DataFrame, unsigned: bool) -> DataFrame:
+    return df.withColumn("value", (F.col("value").cast("decimal(20,0)") + F.lit(Decimal(BIAS))).cast("decimal(20,0)")) if unsigned else df
+
+
+def encode(seq: DataFrame, variant: str = "bstar", size: int = DEFAULT_SIZE, strategy: str = "optimal") -> DataFrame:
+    """Block rows of (pos, value): one exchange by block, then one task packs whole blocks. variant: rle, u, b, bstar or classic; strategy: optimal or approximate."""
     ship(seq.sparkSession)
-    rows = seq.select(F.expr(f"pos div {size}").alias("part"), "pos", F.col("value").cast("bigint").alias("value"))
+    if variant != "classic":
+        choose(np.zeros(1, np.int64), variant, strategy)  # refuses what there is no choice for
+    value = F.col("value") - F.lit(Decimal(BIAS)) if is_unsigned(seq) else F.col("value")
+    rows = seq.select(F.expr(f"pos div {size}").alias("part"), "pos", value.cast("bigint").alias("value"))
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("pos").to_numpy(), kind="stable")
-        row = encode_block(group.column("value").to_numpy()[order], variant) | {"part": group.column("part")[0].as_py()}
+        row = encode_block(group.column("value").to_numpy()[order], variant, strategy) | {"part": group.column("part")[0].as_py()}
         kinds = {"part": pa.int64(), "n": pa.int64(), "base": pa.int64(), "total_bits": pa.int32(), "b": pa.int32(), "h": pa.int32(), "reversed": pa.bool_()}
         return pa.table({k: pa.array([row[k]], kinds.get(k, pa.binary())) for k in NAMES})
 
     return rows.groupBy("part").applyInArrow(run, FIELDS)
 
 
-def decode(blocks: DataFrame, variant: str = "bstar", size: int = DEFAULT_SIZE) -> DataFrame:
+def decode(blocks: DataFrame, variant: str = "bstar", size: int = DEFAULT_SIZE, unsigned: bool = False) -> DataFrame:
     """(pos, value); no exchange."""
     ship(blocks.sparkSession)
 
@@ -204,10 +299,10 @@ def decode(blocks: DataFrame, variant: str = "bstar", size: int = DEFAULT_SIZE)
                 v = decode_block(row, variant)
                 yield pa.RecordBatch.from_arrays([pa.array(row["part"] * size + np.arange(len(v))), pa.array(v)], names=["pos", "value"])
 
-    return blocks.select(*NAMES).mapInArrow(run, "pos long, value long")
+    return _as_read(blocks.select(*NAMES).mapInArrow(run, "pos long, value long"), unsigned)
 
 
-def lookup(blocks: DataFrame, positions: DataFrame, variant: str, size: int) -> DataFrame:
+def lookup(blocks: DataFrame, positions: DataFrame, variant: str, size: int, unsigned: bool = False) -> DataFrame:
     """(pos, value) for (pos): positions meet their block by an equi-join on part, and each block is decoded once for all of its positions."""
     ship(blocks.sparkSession)
     asked = positions.select("pos", F.expr(f"pos div {size}").alias("part"))
@@ -221,4 +316,4 @@ def lookup(blocks: DataFrame, positions: DataFrame, variant: str, size: int) ->
         ok = i < len(v)
         return pa.table({"pos": pos[ok], "value": v[i[ok]]})
 
-    return asked.groupBy("part").cogroup(blocks.select(*NAMES).groupBy("part")).applyInArrow(run, "pos long, value long")
+    return _as_read(asked.groupBy("part").cogroup(blocks.select(*NAMES).groupBy("part")).applyInArrow(run, "pos long, value long"), unsigned)

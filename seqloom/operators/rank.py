@@ -73,9 +73,18 @@ def set_range(bits: DataFrame, start: int, end: int, bit: int, n: int) -> DataFr
 
 
 def from_packed(blocks: DataFrame, column: str, n: str) -> DataFrame:
-    """(part, pos, bit) of a packed bit column; bits are numbered from the least significant of the first byte on."""
-    pos = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("pos")
-    rows = blocks.where(F.col(n) > 0).select("part", F.hex(column).alias("x"), pos)
-    byte = F.conv(F.substring("x", (F.floor(F.col("pos") / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
-    bit = F.call_function("shiftright", byte, (F.col("pos") % 8).cast("int")).bitwiseAND(F.lit(1))
-    return rows.select("part", "pos", bit.cast("bigint").alias("bit"))
+    """(part, pos, bit) of a packed bit column; bits are numbered from the least significant of the first byte on. Rows carry a byte, never the vector."""
+    place = F.sequence(F.lit(1), F.octet_length(column))
+    numbers = F.transform(place, lambda i: F.conv(F.hex(F.substring(F.col(column), i, F.lit(1))), 16, 10).cast("int"))
+    rows = blocks.where((F.col(n) > 0) & (F.octet_length(column) > 0)).select("part", F.col(n).alias("n"), F.posexplode(numbers).alias("at", "byte"))
+    rows = rows.select("part", "n", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    pos, bit = (F.col("at") * 8 + F.col("k")).cast("bigint"), F.call_function("shiftright", F.col("byte"), F.col("k")).bitwiseAND(F.lit(1))
+    return rows.select("part", pos.alias("pos"), bit.cast("bigint").alias("bit"), "n").where(F.col("pos") < F.col("n")).drop("n")
+
+
+def pack(bits: DataFrame) -> DataFrame:
+    """(part, n, bytes) of (part, pos, bit), places counting from 0 in each vector: what from_packed() reads."""
+    byte = F.sum(F.call_function("shiftleft", F.col("bit").cast("int"), F.pmod("pos", F.lit(8)).cast("int"))).alias("byte")
+    rows = bits.groupBy("part", F.floor(F.col("pos") / 8).alias("at")).agg(F.count("*").alias("c"), byte)
+    made = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "byte"))), lambda x: F.lpad(F.hex(x["byte"]), 2, "0")), "")
+    return rows.groupBy("part").agg(F.sum("c").alias("n"), F.unhex(made).alias("bytes"))

@@ -146,8 +146,8 @@ def all_gaps_optimal(frame: DataFrame) -> DataFrame:
     """A window of split points around the estimate, 0 among them; no splitting only if strictly cheaper."""
     tb = F.col("total_bits")
     x = _estimate()
-    low = F.coalesce(F.greatest(F.lit(0), F.floor(x) - 1), F.lit(0))
-    high = F.coalesce(F.greatest(F.lit(0), F.least(tb, F.ceil(x) + 3)), F.lit(0))
+    low = F.when(x.isNotNull(), F.greatest(F.lit(0), F.floor(x) - 1)).otherwise(0)  # least and greatest would pass over a null
+    high = F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(tb, F.ceil(x) + 3))).otherwise(0)
     return _all_gaps(_bounds(frame, F.least(low, tb), high))
 
 
@@ -155,8 +155,8 @@ def all_gaps_approximate(frame: DataFrame) -> DataFrame:
     """The two split points next to the estimate; an integral estimate, or none, is taken as it is."""
     tb = F.col("total_bits")
     x = _estimate()
-    low = F.coalesce(F.least(tb, F.greatest(F.lit(0), F.floor(x))), F.lit(0))
-    high = F.coalesce(F.greatest(F.lit(0), F.least(tb, F.ceil(x))), F.lit(0))
+    low = F.when(x.isNotNull(), F.least(tb, F.greatest(F.lit(0), F.floor(x)))).otherwise(0)
+    high = F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(tb, F.ceil(x)))).otherwise(0)
     rows = _bounds(frame, low, high)
     sure = x.isNull() | (F.ceil(x) == F.floor(x))
     return _all_gaps(rows, sure)
@@ -181,8 +181,9 @@ def runs_optimal(frame: DataFrame) -> DataFrame:
     """Runs of equal high parts, from a histogram of shared prefixes; costs are compared in bits, and no splitting, then the larger b, wins ties."""
     bits = bm.total_bits_runs(F.col("base"), F.col("max")).cast("bigint")
     rows = frame.withColumn("total_bits", bits).withColumn("lcp", F.when(F.col("i") > 0, bm.common_prefix(F.col("x"), F.col("prev"), bits)))
-    rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("bigint"), bits)))
-    runs = rows.groupBy("part", "n", "total_bits", "h").agg((1 + F.count_if(F.col("lcp") < F.col("h"))).alias("runs"))
+    rows = rows.groupBy("part", "n", "total_bits", "lcp").agg(F.count("*").alias("pairs"))  # some 64 rows a block
+    rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total_bits"))))
+    runs = rows.groupBy("part", "n", "total_bits", "h").agg((1 + F.sum(F.when(F.col("lcp") < F.col("h"), F.col("pairs")).otherwise(0))).alias("runs"))
     n, h, tb = F.col("n"), F.col("h"), F.col("total_bits")
     cost = F.when(h == 0, n * tb).otherwise(n * (tb - h + 1) + F.col("runs") * h)
     best = runs.groupBy("part", "n", "total_bits").agg(F.min(F.struct(cost.alias("cost"), "h", "runs")).alias("best"))

@@ -126,15 +126,16 @@ def split_u_approx(sequence: str, size: int = 4096) -> str:
 
 def split_bstar_optimal(sequence: str, size: int = 4096) -> str:
     return f"""WITH {frame(sequence, size)}, {VARIATION},
-        w AS (SELECT part, CAST(coalesce(least(tb, greatest(0, floor(x) - 1)), 0) AS BIGINT) AS lo, CAST(coalesce(greatest(0, least(tb, ceil(x) + 3)), 0) AS BIGINT) AS hi FROM e),
+        w AS (SELECT part, CAST(CASE WHEN x IS NULL THEN 0 ELSE least(tb, greatest(0, floor(x) - 1)) END AS BIGINT) AS lo,
+            CAST(CASE WHEN x IS NULL THEN 0 ELSE greatest(0, least(tb, ceil(x) + 3)) END AS BIGINT) AS hi FROM e),
         {counters('none', '(SELECT part, unnest(range(lo, greatest(lo, hi) + 1)) AS b FROM w)')}
         {pick(f"SELECT part, n, tb, b, false AS rev, CASE WHEN n < 2 THEN 10 ELSE {COST_S} END AS cost, b AS rank FROM c UNION ALL SELECT part, n, tb, tb, false, {PLAIN['bstar']}, 1000 FROM m")}"""
 
 
 def split_bstar_approx(sequence: str, size: int = 4096) -> str:
     return f"""WITH {frame(sequence, size)}, {VARIATION},
-        w AS (SELECT part, x IS NULL OR floor(x) = ceil(x) AS sure, CAST(coalesce(least(tb, greatest(0, floor(x))), 0) AS BIGINT) AS lo,
-            CAST(coalesce(greatest(0, least(tb, ceil(x))), 0) AS BIGINT) AS hi FROM e),
+        w AS (SELECT part, x IS NULL OR floor(x) = ceil(x) AS sure, CAST(CASE WHEN x IS NULL THEN 0 ELSE least(tb, greatest(0, floor(x))) END AS BIGINT) AS lo,
+            CAST(CASE WHEN x IS NULL THEN 0 ELSE greatest(0, least(tb, ceil(x))) END AS BIGINT) AS hi FROM e),
         {counters('none', '(SELECT part, unnest(range(lo, greatest(lo, hi) + 1)) AS b FROM w)')}
         {pick(f'''SELECT c.part, n, tb, b, false AS rev, CASE WHEN n < 2 AND NOT sure THEN 10 ELSE {COST_S} END AS cost, b AS rank FROM c JOIN w ON c.part = w.part
             UNION ALL SELECT m.part, n, tb, tb, false, {PLAIN['bstar']}, 1000 FROM m JOIN w ON m.part = w.part WHERE NOT sure''')}"""
@@ -180,10 +181,17 @@ COMPONENT_COLUMNS = f"""part, n, b, h, CAST(low_bits AS BIGINT) AS low_bits, hig
 
 BITS = f"WITH {frame(CENTS)}, t AS (SELECT part, pos, x % 2 AS bit FROM f)"
 RANKED = "SELECT part, pos, bit, coalesce(sum(bit) OVER (PARTITION BY part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r, row_number() OVER (PARTITION BY part ORDER BY pos) - 1 AS p FROM t"
+
+
+def _uniform(key: str, salt: int, seed: int = 42) -> str:
+    """A number in [0, 1) from the first 28 bits of a digest."""
+    return f"(CAST(('0x' || substr(md5({key} || ':{seed}:{salt}'), 1, 7)) AS BIGINT) / 268435456.0)"
+
+
 CLASSIC = "CASE WHEN (mx - base + 1) // n <= 1 THEN 0 ELSE least(tb, " + bits("(mx - base + 1) // n") + " - 1) END"
 
 SQL: dict[str, str] = {
-    "flagship": f"""WITH {encoded(CUSTOMERS, split_b_optimal(CUSTOMERS, 256), EXC['b'], 256)}, {COMPONENTS}
+    "flagship": f"""WITH {encoded(TIMES, split_b_optimal(TIMES, 256), EXC['b'], 256)}, {COMPONENTS}
         SELECT o.part, o.n, o.total_bits, o.b, o.h, o.theoretical_bytes, q.highs, q.up_bits, q.down_bits, q.theoretical_bytes AS encoded_bytes
         FROM o JOIN (SELECT {COMPONENT_COLUMNS} FROM k) q ON o.part = q.part""",
     "seq_block_minmax": f"WITH {frame(BALANCES, 512)} SELECT part, n, base, mx AS max FROM m",
@@ -212,16 +220,19 @@ SQL: dict[str, str] = {
     "enc_b_components": f"WITH {encoded(CENTS, split_b_optimal(CENTS), EXC['b'])} SELECT part, i, b, low, CASE WHEN is_exception THEN hi END AS high, CASE WHEN h > 0 AND NOT is_exception THEN g END AS gap, is_exception FROM z",
     "enc_bstar_gaps": f"WITH {encoded(CENTS, split_bstar_optimal(CENTS), EXC['bstar'])} SELECT part, i, b, low, CASE WHEN h > 0 THEN g END AS gap FROM z",
     "enc_classic_gaps": f"WITH {frame(TIMES)}, q AS (SELECT f.*, CAST({CLASSIC} AS BIGINT) AS b FROM f) SELECT part, i, b, x & ((CAST(1 AS BIGINT) << CAST(b AS INT)) - 1) AS low, (x >> CAST(b AS INT)) - (px >> CAST(b AS INT)) AS gap FROM q",
-    "unary_bits": f"WITH {encoded(CUSTOMERS, split_bstar_optimal(CUSTOMERS), EXC['bstar'])} SELECT part, i, repeat('1', CAST(g AS INT)) || '0' AS code, repeat('0', CAST(g AS INT)) || '1' AS inverted FROM z WHERE h > 0 AND g >= 0 AND i < 200",
+    "unary_bits": f"WITH {encoded(TIMES, split_bstar_optimal(TIMES), EXC['bstar'])} SELECT part, i, repeat('1', CAST(g AS INT)) || '0' AS code, repeat('0', CAST(g AS INT)) || '1' AS inverted FROM z WHERE h > 0 AND g >= 0",
     "size_by_variant": " UNION ALL ".join(_totals(f(CENTS), f"'{k}' AS variant, ") for k, f in SPLITS.items()),
     "bpi_ratio": f"SELECT n, total_bytes, round(total_bytes * 8 / n, 6) AS bits_per_int, round(total_bytes / (n * 8), 6) AS ratio, round(total_bytes / 1048576, 6) AS megabytes FROM ({_totals(split_bstar_optimal(CENTS))})",
     "approx_vs_optimal": f"""SELECT o.part, o.b AS b_optimal, o.theoretical_bytes AS bytes_optimal, a.b AS b_approx, a.theoretical_bytes AS bytes_approx
         FROM ({split_bstar_optimal(CENTS)}) o JOIN ({split_bstar_approx(CENTS)}) a ON o.part = a.part""",
-    "partition_size_sweep": " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS partition_size, blocks, total_bytes FROM ({_totals(split_b_optimal(CENTS, k))})" for k in (500, 1000, 2000, 4000, 8000)),
+    "partition_size_sweep": " UNION ALL ".join(
+        f"SELECT '{v}' AS variant, CAST({k} AS BIGINT) AS partition_size, blocks, total_bytes FROM ({_totals(f(CENTS, k))})"
+        for v, f in SPLITS.items() for k in (8000, 10000, 16000, 24000, 32000, 40000, 48000, 56000, 64000, 100000, 250000, 500000)
+    ),
     "build_metrics": f"""WITH {encoded(CENTS, split_b_optimal(CENTS), EXC['b'])}, {COMPONENTS}
         SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS elements, CAST(sum(highs) AS BIGINT) AS exceptions, CAST(sum(b) AS BIGINT) AS sum_split, min(b) AS min_split, max(b) AS max_split, round(avg(b), 6) AS avg_split FROM k""",
     "encoded_sizes": f"WITH {encoded(CENTS, split_b_optimal(CENTS), EXC['b'])}, {COMPONENTS} SELECT {COMPONENT_COLUMNS} FROM k",
-    "decode_rle": _plain(CENTS), "decode_u": _plain(TIMES), "decode_b": _plain(CENTS), "decode_bstar": _plain(BALANCES), "decode_classic": _plain(TIMES),
+    "decode_rle": _plain(CENTS), "decode_u": _plain(TIMES), "decode_b": _plain(CENTS), "decode_bstar": _plain(TIMES), "decode_classic": _plain(TIMES),
     "point_get": _plain(CENTS, "pos = 777"),
     "at_checked": f"SELECT q.pos, CASE WHEN s.pos IS NULL THEN 'out_of_range' ELSE 'ok' END AS status, s.v AS value FROM (SELECT unnest([0, 5, 999, 1000000000, -1])::BIGINT AS pos) q LEFT JOIN ({CENTS}) s ON q.pos = s.pos",
     "get_elements": _plain(CENTS, "pos >= 100 AND pos < 350"),
@@ -230,6 +241,7 @@ SQL: dict[str, str] = {
     "batch_lookup": f"SELECT q.pos, s.v AS value FROM (SELECT (i * 7919) % (SELECT count(*) FROM events) AS pos FROM range(2000) t(i)) q JOIN ({CENTS}) s ON q.pos = s.pos",
     "packed_lookup": f"SELECT q.pos, s.v AS value FROM (SELECT (i * 104729) % (SELECT count(*) FROM events) AS pos FROM range(2000) t(i)) q JOIN ({CENTS}) s ON q.pos = s.pos",
     "no_ra_prefix": f"SELECT pos AS i, v AS value FROM ({CENTS}) WHERE pos >= 300 AND pos < 364",
+    **{f"no_ra_prefix_{v}": f"SELECT pos AS i, v AS value FROM ({q}) WHERE pos >= 300 AND pos < 364" for v, q in (("rle", CENTS), ("u", TIMES), ("bstar", CENTS))},
     "block_route": f"SELECT pos, pos // 1000 AS part, pos % 1000 AS i FROM ({CENTS})",
     "bv_rank1": f"{BITS} SELECT part, pos, CAST(r AS BIGINT) AS rank1 FROM ({RANKED})",
     "bv_rank0": f"{BITS} SELECT part, pos, CAST(p - r AS BIGINT) AS rank0 FROM ({RANKED})",
@@ -237,16 +249,24 @@ SQL: dict[str, str] = {
     "bv_select1": f"{BITS} SELECT part, row_number() OVER (PARTITION BY part ORDER BY pos) AS k, pos FROM t WHERE bit = 1",
     "bv_select0": f"{BITS} SELECT part, row_number() OVER (PARTITION BY part ORDER BY pos) AS k, pos FROM t WHERE bit = 0",
     "bv_cumgap": f"""WITH {encoded(CENTS, split_bstar_optimal(CENTS), EXC['bstar'])} SELECT part, i + 1 AS k, CAST(sum(greatest(g, 0)) OVER (PARTITION BY part ORDER BY i) AS BIGINT) AS cumgap FROM z WHERE h > 0""",
-    "bv_get": f"{BITS} SELECT part, bit FROM t WHERE pos % 4096 = 77 AND part = 0",
+    "bv_get": f"{BITS} SELECT part, bit FROM t WHERE pos = 77",
+    "bv_pack": f"WITH {frame(CENTS)} SELECT part, i AS pos, x % 2 AS bit FROM f",
+    "stored_metadata": "SELECT count(*) AS n, CAST(ceil(count(*) / 4096) AS BIGINT) AS blocks, count(*) = 0 AS empty, 0 AS split_point FROM events",
+    "decode_unsigned": f"SELECT pos, CAST(v::HUGEINT + 9223372036854775808::HUGEINT AS DECIMAL(20,0)) AS value, CAST(v::HUGEINT + 9223372036854775808::HUGEINT AS DECIMAL(20,0)) AS packed FROM ({TIMES})",
     "bv_set": f"{BITS} SELECT part, pos, CASE WHEN pos >= 8 AND pos < 20 THEN (2741 >> CAST(pos - 8 AS INT)) & 1 WHEN pos >= 100 AND pos < 150 THEN 1 ELSE bit END AS bit FROM t",
     "bv_from_packed": f"WITH {encoded(CENTS, split_b_optimal(CENTS), EXC['b'])} SELECT part, i AS pos, CAST(is_exception AS BIGINT) AS bit FROM z WHERE h > 0",
     "limit_read": _plain(CENTS, "pos < 500"),
     "numbered_positions": _plain(SHIP_DAYS),
     "drift_source": "SELECT i AS pos, CAST(CASE WHEN i % 13 = 0 THEN 42 ELSE i // 3 - 2 * (i // 7) END AS BIGINT) AS value FROM range(1000) t(i)",
-    "bench_json_mean": """SELECT 'variant' || (o_orderkey % 2) AS compressor, 1000 * (1 + o_orderkey % 4) AS partition_size, count(*) AS n_runs, round(avg(o_orderkey), 6) AS ratio, round(avg(o_custkey), 6) AS speed
+    "bench_json_mean": """SELECT 'variant' || (o_orderkey % 2) AS compressor, 1000 * (1 + o_orderkey % 4) AS partition_size, count(*) AS n_runs, round(avg(o_orderkey / 128 * 100), 6) AS ratio, round(avg(o_custkey), 6) AS speed
         FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0 GROUP BY 1, 2""",
     "speedup_efficiency": """WITH t AS (SELECT CAST(pow(2, o_orderkey % 4) AS BIGINT) AS threads, avg(o_custkey) AS a FROM orders GROUP BY 1)
         SELECT threads, round(a, 6) AS avg_throughput, round(a / (SELECT a FROM t WHERE threads = 1), 6) AS speedup, round(a / (SELECT a FROM t WHERE threads = 1) / threads * 100, 6) AS efficiency FROM t""",
     "packed_roundtrip": _plain(CENTS),
+    "binary_source": """SELECT 'a.bin' AS file, i AS pos, i * 3 - 500 AS value, CAST(2 AS BIGINT) AS decimals FROM range(1000) t(i)
+        UNION ALL SELECT 'b.bin', i, 99 - i, CAST(0 AS BIGINT) FROM range(100) t(i)""",
+    "random_source": f"""WITH t AS (SELECT i AS pos, {_uniform('i', 1)} < 0.3 AND i > 0 AS again FROM range(5000) t(i)),
+        h AS (SELECT pos, pos - CASE WHEN again AND lag(again) OVER (ORDER BY pos) THEN 2 WHEN again THEN 1 ELSE 0 END AS head FROM t)
+        SELECT pos, CAST(floor({_uniform('head', 2)} * 1001) - 500 AS BIGINT) AS value FROM h""",
     "packed_choice": f"SELECT part, n, b, h, reversed FROM ({split_u_optimal(CENTS)})",
 }

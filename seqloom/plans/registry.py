@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from seqloom.functions import bitmath as bm
 from seqloom.functions.runtime import scratch, ship
 from seqloom.operators import access, blocks, codec, gaps, packed, rank, sizes, split
 from seqloom.plans import oracles
-from seqloom.sources import binary
+from seqloom.sources import binary, results, store
 
 SIZE = 4096
 
@@ -40,17 +41,23 @@ def balances(spark, sf_dir):
 def ship_days(spark, sf_dir):
     """Ship dates of line items by the five columns that order them."""
     order = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"]
-    rows = blocks.numbered(_read(spark, sf_dir, "lineitem").select(*order), "l_orderkey", order)
+    rows = blocks.numbered(_read(spark, sf_dir, "lineitem").select(*order), order)
     return blocks.sequence(rows, F.col("pos"), F.unix_date(F.col("l_shipdate").cast("date")))
 
 
+def order_keys(spark, sf_dir):
+    """Order keys of line items in order: long runs, small steps."""
+    rows = blocks.numbered(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+    return blocks.sequence(rows, F.col("pos"), F.col("l_orderkey"))
+
+
 def _frame(spark, sf_dir, of=cents, size=SIZE):
     return blocks.frame(of(spark, sf_dir), size)
 
 
 def flagship(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """One row per block: the optimal two-way split of a customer key sequence and what its parts come to."""
-    frame = blocks.frame(customers(spark, sf_dir), size)
+    """One row per block: the optimal two-way split of the events' times and what its parts come to."""
+    frame = blocks.frame(times(spark, sf_dir), size)
     choice = split.two_way_optimal(frame)
     parts = codec.components(codec.encode(frame, choice, "b"), "b").select("part", "highs", "up_bits", "down_bits", F.col("theoretical_bytes").alias("encoded_bytes"))
     return choice.join(parts, "part").drop("reversed")
@@ -79,16 +86,11 @@ def seq_total_bits(s, d):
 
 @query
 def seq_total_bits_rle(s, d):
-    st = blocks.stats(blocks.sequence(_read(s, d, "labels").select((F.row_number().over(_by("doc_id")) - 1).alias("pos"), "quality"), F.col("pos"), F.col("quality")), 64)
+    rows = blocks.numbered(_read(s, d, "labels").select("doc_id", "quality"), ["doc_id"])
+    st = blocks.stats(blocks.sequence(rows, F.col("pos"), F.col("quality")), 64)
     return st.select("part", bm.total_bits_runs(F.col("base"), F.col("max")).cast("bigint").alias("total_bits"))
 
 
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
-
-
 @query
 def seq_high_low_split(s, d):
     f = _frame(s, d)
@@ -220,7 +222,7 @@ def enc_classic_gaps(s, d):
 
 @query
 def unary_bits(s, d):
-    e = _encoded(s, d, "bstar", customers).where("gap is not null and gap >= 0 and i < 200")
+    e = _encoded(s, d, "bstar", times).where("gap is not null and gap >= 0")
     return e.select("part", "i", bm.unary(F.col("gap")).alias("code"), bm.unary_inverted(F.col("gap")).alias("inverted"))
 
 
@@ -247,11 +249,19 @@ def approx_vs_optimal(s, d):
     return split.all_gaps_optimal(f).select("part", F.col("b").alias("b_optimal"), F.col("theoretical_bytes").alias("bytes_optimal")).join(a, "part")
 
 
+#: The block sizes that the sweep compares.
+SWEEP = [8000, 10000, 16000, 24000, 32000, 40000, 48000, 56000, 64000, 100000, 250000, 500000]
+
+
 @query
 def partition_size_sweep(s, d):
+    """Every choice over every block size. Sizes do not depend on whether there is random access."""
+    f = blocks.frames(cents(s, d), SWEEP)
     out = None
-    for size in (500, 1000, 2000, 4000, 8000):
-        one = sizes.total(split.two_way_optimal(_frame(s, d, cents, size))).select(F.lit(size).cast("bigint").alias("partition_size"), "blocks", "total_bytes")
+    for (variant, strategy), choose in split.CHOOSERS.items():
+        by = choose(f).groupBy(F.shiftright("part", 40).alias("k")).agg(F.count("*").alias("blocks"), (F.sum("theoretical_bytes") + sizes.SEQUENCE_FIELDS).cast("bigint").alias("total_bytes"))
+        size = F.get(F.array(*(F.lit(n).cast("bigint") for n in SWEEP)), F.col("k").cast("int"))
+        one = by.select(F.lit(f"{variant}_{strategy}").alias("variant"), size.alias("partition_size"), "blocks", "total_bytes")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -277,10 +287,19 @@ def _decoded(variant, of):
     return run
 
 
-for _v, _of in (("rle", cents), ("u", times), ("b", cents), ("bstar", balances)):
+for _v, _of in (("rle", cents), ("u", times), ("b", cents), ("bstar", times)):
     Q[f"decode_{_v}"] = _decoded(_v, _of)
 
 
+@query
+def decode_unsigned(s, d):
+    """Values beyond 63 bits, through both tiers."""
+    big = times(s, d).select("pos", (F.col("value") + F.lit(Decimal(1 << 63))).cast("decimal(20,0)").alias("value"))
+    logical = codec.decode(codec.compress(blocks.frame(big, SIZE), "b")).select((F.col("part") * SIZE + F.col("i")).alias("pos"), "value")
+    packed_ = packed.decode(packed.encode(big, "u", SIZE), "u", SIZE, unsigned=True)
+    return logical.join(packed_.withColumnRenamed("value", "packed"), "pos")
+
+
 @query
 def decode_classic(s, d):
     f = times(s, d)
@@ -328,6 +347,17 @@ def no_ra_prefix(s, d):
     return access.prefix(_encoded(s, d, "b"), 0, 300, 64)
 
 
+def _prefix(variant, of):
+    def run(s, d):
+        return access.prefix(_encoded(s, d, variant, of), 0, 300, 64)
+
+    return run
+
+
+for _v, _of in (("rle", cents), ("u", times), ("bstar", cents)):
+    Q[f"no_ra_prefix_{_v}"] = _prefix(_v, _of)
+
+
 @query
 def block_route(s, d):
     part, i = access.route(F.col("pos"), 1000)
@@ -370,7 +400,7 @@ def bv_cumgap(s, d):
 
 @query
 def bv_get(s, d):
-    return rank.get(_bits(s, d).where("part = 0"), 77, SIZE)
+    return rank.get(_bits(s, d), 77, cents(s, d).count())
 
 
 @query
@@ -384,6 +414,32 @@ def bv_from_packed(s, d):
     return rank.from_packed(packed.encode(cents(s, d), "b", SIZE).where("h > 0"), "flags", "n")
 
 
+@query
+def bv_pack(s, d):
+    """Bits written as bytes and read back."""
+    whole = _frame(s, d).select("part", F.col("i").alias("pos"), (F.col("x") % 2).cast("bigint").alias("bit"))
+    return rank.from_packed(rank.pack(whole), "bytes", "n")
+
+
+@query
+def packed_sizes(s, d):
+    """Bytes of the packed blocks by component, for every variant and strategy."""
+    out = None
+    for variant, strategy in (*split.CHOOSERS, ("classic", "optimal")):
+        rows = packed.encode(times(s, d), variant, SIZE, strategy)
+        parts = [F.sum(F.octet_length(c)).cast("bigint").alias(f"{c}_bytes") for c in ("low", "high", "flags", "up", "down")]
+        one = rows.agg(F.sum("n").cast("bigint").alias("n"), *parts).withColumn("variant", F.lit(f"{variant}_{strategy}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def stored_metadata(s, d):
+    path = scratch(s)
+    store.save(cents(s, d), path, "bstar", SIZE)
+    return store.metadata(s, path)
+
+
 @query
 def limit_read(s, d):
     return cents(s, d).where(F.col("pos") < 500)
@@ -401,12 +457,16 @@ def drift_source(s, d):
 
 @query
 def bench_json_mean(s, d):
+    """Result files written as JSON, a thousand runs to a file, read and averaged."""
     rows = _read(s, d, "orders").select(
         F.concat_ws("/", F.concat(F.lit("set"), F.col("o_orderkey") % 3), F.concat(F.lit("variant"), F.col("o_orderkey") % 2),
                     F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise((1000 * (1 + F.col("o_orderkey") % 4)).cast("string")),
                     F.when(F.col("o_orderkey") % 5 == 0, "RA_Disabled").otherwise("RA_Enabled")).alias("name"),
-        F.col("o_orderkey").cast("double").alias("ratio"), F.col("o_custkey").cast("double").alias("speed"))
-    return sizes.benchmark_means(rows)
+        (F.col("o_orderkey") / 128).cast("double").alias("CompressionRatio"), (F.col("o_custkey") * 2.0**20).cast("double").alias("bytes_per_second"),
+        F.floor(F.col("o_orderkey") / 1000).alias("file"))
+    path = scratch(s)
+    rows.groupBy("file").agg(F.collect_list(F.struct("name", "CompressionRatio", "bytes_per_second")).alias("benchmarks")).write.partitionBy("file").json(path)
+    return sizes.benchmark_means(results.read(s, path))
 
 
 @query

@@ -156,7 +156,7 @@ def test_rank_and_select(spark):
 def test_positions_without_a_global_window(spark):
     rows = [(k % 7000, k) for k in range(20_000)]
     df = spark.createDataFrame(rows, "k long, v long").repartition(5)
-    got = [r["v"] for r in blocks.numbered(df, "k", ["k", "v"], width=10).orderBy("pos").collect()]
+    got = [r["v"] for r in blocks.numbered(df, ["k", "v"]).orderBy("pos").collect()]
     assert got == [v for _, v in sorted(rows)]
 
 
@@ -222,3 +222,106 @@ def test_setting_bits(spark):
             wrong()
     with pytest.raises(ValueError):
         rank.set_bits(bits, 0, 1, 65, 70)
+
+
+@pytest.mark.parametrize("variant", ["u", "b", "bstar"])
+def test_packed_approximate_choices_equal_logical_ones(spark, variant):
+    rng = random.Random(19)
+    values = [v for k in ("ten", "negative", "steps", "descending", "same", "alternating") for v in SHAPES[k]]
+    for top in (1, 3, 70, 5000, 2**40):
+        values += sorted(rng.randint(0, top) for _ in range(128)) + [rng.randint(0, top) for _ in range(128)]
+    values += [3]  # a block of one
+    values = values[: len(values) - len(values) % 64 + 1]
+    seq = make(spark, values)
+    rows = packed.encode(seq, variant, 64, "approximate")
+    assert {r["pos"]: r["value"] for r in packed.decode(rows, variant, 64).collect()} == dict(enumerate(values))
+    pick = lambda d: sorted((r["part"], r["n"], int(r["b"]), int(r["h"]), r["reversed"]) for r in d.collect())
+    assert pick(rows) == pick(split.CHOOSERS[variant, "approximate"](blocks.frame(seq, 64)))
+
+
+def test_packed_classic_blocks(spark):
+    values = [v // 3 for v in range(0, 9000, 7)] + [10**12]
+    rows = packed.encode(make(spark, values), "classic", 200)
+    assert [r["value"] for r in packed.decode(rows, "classic", 200).orderBy("pos").collect()] == values
+    choice = {r["part"]: r["b"] for r in split.classic(blocks.stats(make(spark, values), 200)).collect()}
+    assert {r["part"]: r["b"] for r in rows.collect()} == choice
+    with pytest.raises(Exception, match="monotone"):
+        packed.encode(make(spark, [3, 1]), "classic", 200).collect()
+
+
+@pytest.mark.parametrize("variant,strategy", [("rle", "approximate"), ("b", "best"), ("c", "optimal")])
+def test_choices_that_do_not_exist_are_refused(spark, variant, strategy):
+    with pytest.raises(ValueError):
+        packed.encode(make(spark, [1, 2]), variant, 64, strategy)
+    with pytest.raises(ValueError):
+        codec.compress(blocks.frame(make(spark, [1, 2]), 64), variant, strategy)
+
+
+def test_split_points_and_ranges_beyond_64_bits_are_refused(spark):
+    row = packed.encode(make(spark, [1, 2, 3]), "b", 64).first().asDict()
+    for b in (65, -1):
+        with pytest.raises(ValueError):
+            packed.decode_block(row | {"b": b}, "b")
+    with pytest.raises(OverflowError):
+        packed.encode_block(np.array([-(2**63), 2**63 - 1]), "b")
+
+
+@pytest.mark.parametrize("variant", ["rle", "u", "b", "bstar"])
+def test_unsigned_values_in_both_tiers(spark, tmp_path, variant):
+    values = [2**63 + 10**6, 2**63 + 5, 2**63 - 1, 2**63, 2**63 + 7] * 30
+    np.array([len(values), *values], "<u8").tofile(tmp_path / "big.bin")
+    seq, want = binary.read(spark, str(tmp_path / "big.bin"), "uint64").select("pos", "value"), dict(enumerate(values))
+    got = {r["part"] * 64 + r["i"]: int(r["value"]) for r in codec.decode(codec.compress(blocks.frame(seq, 64), variant)).collect()}
+    assert got == want
+    store.save(seq, str(tmp_path / "t"), variant, 64)
+    assert {r["pos"]: int(r["value"]) for r in store.read(spark, str(tmp_path / "t")).collect()} == want
+    assert store.metadata(spark, str(tmp_path / "t")).first() == (150, 3, False, 0)
+
+
+def test_raw_files_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "PIECE_BYTES", 4096)
+    rng = np.random.default_rng(3)
+    values = rng.integers(-(2**62), 2**62, 10_001)
+    binary.write(values, str(tmp_path / "a b.bin"), 2)
+    binary.write(values[:0], str(tmp_path / "none.bin"))
+    rows = binary.read_dataset(spark, str(tmp_path), "*.bin")
+    assert [r["value"] for r in rows.orderBy("pos").collect()] == values.tolist()
+    (tmp_path / "cut.raw").write_bytes(np.array([5, 1, 2], "<i8").tobytes() + b"xyz")
+    assert [r["value"] for r in binary.read(spark, str(tmp_path / "cut.raw")).orderBy("pos").collect()] == [1, 2]
+    assert binary.read(spark, str(tmp_path / "a b.bin"), first_is_size=False, max_size=700).count() == 700
+
+
+def test_numbers_of_a_key_that_most_rows_share(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 9 > 0, 5).otherwise(F.col("id") % 11).alias("k"), F.xxhash64("id").alias("v"))
+    rows = blocks.numbered(df, ["k", "v"])
+    got = [(r["k"], r["v"]) for r in rows.orderBy("pos").collect()]
+    assert got == sorted((r["k"], r["v"]) for r in df.collect()) and [r["pos"] for r in rows.select("pos").orderBy("pos").collect()] == list(range(30_000))
+
+
+def test_bits_are_packed_and_read(spark):
+    bits = [(p, i, (i * 7 + p) % 3 % 2) for p, n in ((0, 1), (1, 8), (2, 77)) for i in range(n)]
+    packed_bits = rank.pack(spark.createDataFrame(bits, "part long, pos long, bit long"))
+    rows = {r["part"]: (r["n"], bytes(r["bytes"])) for r in packed_bits.collect()}
+    for p in range(3):
+        own = [b for q, _, b in bits if q == p]
+        assert rows[p] == (len(own), np.packbits(own, bitorder="little").tobytes())
+    assert sorted(tuple(r) for r in rank.from_packed(packed_bits, "bytes", "n").collect()) == bits
+
+
+def test_registered_sequences_are_split(spark, sf_dir):
+    """Queries that would hold nothing but whole values say nothing about gaps."""
+    from seqloom.plans import registry
+
+    assert registry.flagship(spark, sf_dir).where("h > 0").count() > 0
+    assert registry.queries()["unary_bits"](spark, sf_dir).count() > 500
+    assert registry._encoded(spark, sf_dir, "bstar", registry.times).where("gap <> 0").count() > 0
+
+
+def test_shared_space_has_to_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from seqloom.functions.runtime import scratch
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        scratch(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn")))
