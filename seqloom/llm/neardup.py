@@ -14,7 +14,7 @@ within one class need not be compared; none across classes is left out but for w
 threshold, fewer above).
 
 Null and empty texts, and those of white space only, are alike to nothing: each is a class of its own. To classes(), rows that repeat a doc_id are one document, the
-one whose text has the least hash (a null text only if there is no other), and rows with a null doc_id are left out. deduplicate() takes every row as a document of its own, whatever its doc_id. Very long texts are shingled in slices. Columns other than doc_id and text are not read. An empty table gives no rows.
+one whose text has the least hash (a null text only if there is no other), and rows with a null doc_id are left out. To deduplicate(), every row is a document of its own. Very long texts are shingled in slices. Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -327,11 +327,20 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, whole: the one with the least doc_id (a null one last). Rows are told apart by a key of their own, written with them."""
+    """One row of each class, whole: the one with the least doc_id; a row whose doc_id is null or repeated only if the class has no other.
+
+    Only rows of the latter kind are written with keys of their own, beyond all doc_ids.
+    """
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    again = keep(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")))
+    last = known.agg(F.max("doc_id").alias("d")).first()["d"] or 0
+    if last >= 1 << 62:
+        raise ValueError("doc_ids leave no room for keys beyond them")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    rows = keep(documents.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("key")))
-    found = classes(rows.select(F.col("key").alias("doc_id"), "row.text"), threshold).select(F.col("doc_id").alias("key"), "class_id")
-    own = rows.select("key", F.col("row.doc_id").cast("long").alias("id"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
-    kept = found.join(own, "key").groupBy("class_id").agg(F.min(order).alias("first")).select("first.key")
+    whole = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    single = whole.where("_id is not null").join(again, F.col("_id") == F.col("_again"), "left_anti").select("row", F.col("_id").alias("key"))
+    repeated = whole.join(again, F.col("_id") == F.col("_again"), "left_semi").unionByName(whole.where("_id is null"))
+    odd = keep(repeated.select("row", (F.monotonically_increasing_id() + last + 1).alias("key")))
+    rows = single.unionByName(odd)
+    kept = classes(rows.select(F.col("key").alias("doc_id"), "row.text"), threshold).where("kept").select(F.col("doc_id").alias("key"))
     return rows.join(keep(kept), "key", "left_semi").select("row.*")
