@@ -3,7 +3,8 @@
 Patterns find the protected entities: e-mail addresses, IP addresses, payment cards and phone numbers. The corpus then tells which other terms give
 an entity away. A term t discloses an entity c by PMI(c; t) = log2 p(c, t) / (p(c) p(t)), which reaches the entity's whole information
 IC(c) = -log2 p(c) where t never occurs without c. p(c) and p(t) are shares of all different texts, p(c, t) the share in which t stands within
-``CONTEXT`` code points of c. A term that discloses at least ``REMOVE`` of the information is removed, at least ``GENERALISE`` of it is generalised to a
+``CONTEXT`` code points of c. Besides its value, an entity also counts as what it has in common with others: the domain of an e-mail address, the first two numbers of an IP
+address, the issuer of a card, the area of a phone number; a term may give that away where no single value occurs twice. A term that discloses at least ``REMOVE`` of the information is removed, at least ``GENERALISE`` of it is generalised to a
 placeholder, wherever it stands in any text, provided that chance alone would hardly make them meet as often: a bound of the hypergeometric tail, times the number of
 pairs, is at most ``CHANCE``. So an entity of two texts can have such terms, and a line that stands in many texts counts once for each of them; copies of
 a whole text are one text, so that a document that was copied often does not by itself make its words disclosing. A single text
@@ -175,6 +176,22 @@ def _chance(n: Column, whole: Column, drawn: Column, both: Column) -> Column:
     return F.when(q > p, -drawn * (q * F.log(q / p) + miss)).otherwise(F.lit(0.0))
 
 
+def _general(x: Column) -> Column:
+    """What an entity (with kind and value) has in common with others, told apart from any value by its mark."""
+    value = x["value"]
+    shared = (
+        F.when(x["kind"] == "email", F.substring_index(value, "@", -1)).when(x["kind"] == "ip", F.substring_index(value, ".", 2))
+        .when(x["kind"] == "card", F.substring(value, 1, 6)).otherwise(F.substring(value, 1, 4))
+    )
+    return F.concat(F.lit("in "), shared)
+
+
+def _with_general(found: Column, *others: str) -> Column:
+    """Different entities, or entities with terms, each by its value and by what it has in common."""
+    made = lambda x, value: F.struct(x["kind"].alias("kind"), value.alias("value"), *(x[o].alias(o) for o in others))
+    return F.array_distinct(F.concat(F.transform(found, lambda x: made(x, x["value"])), F.transform(found, lambda x: made(x, _general(x)))))
+
+
 def disclosing(found: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     """(kind, value, term, disclosure) of the terms that give an entity away; counts cover all different texts.
 
@@ -186,9 +203,8 @@ def disclosing(found: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     again = keep(hashed.join(first, "h").where("row <> first").select("row"))
     once = found.join(again, "row", "left_anti")
     total = once.count()
-    own = F.explode(F.array_distinct(F.transform(_entities(), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))))
-    entities = once.select(own.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
-    met = once.select(F.explode(F.array_distinct("near")).alias("w"))
+    entities = once.select(F.explode(_with_general(_entities())).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
+    met = once.select(F.explode(_with_general(F.col("near"), "term")).alias("w"))
     together = met.groupBy("w.kind", "w.value", "w.term").agg(F.count("*").alias("n_both"))
     counted = once.select(F.explode(_terms(F.col("_read"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     pairs = keep(together.join(entities, entity))

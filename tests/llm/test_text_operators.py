@@ -425,6 +425,71 @@ def test_rare_and_copied_pairs_disclose(spark):
     assert {"Quagga", "Okapi"} <= terms and not terms & {"Regards", "common", "words", "again", "unlike"}
 
 
+def test_terms_that_give_a_group_of_entities_away(spark):
+    """No address occurs twice; the office's name stands by all addresses of its domain."""
+    rng = random.Random(12)
+    rows = [(i, f"{' '.join(words(rng, 12))} Blackwood desk {chr(97 + i)}x@corp.example {' '.join(words(rng, 12))}", None, None, None) for i in range(9)]
+    rows += [(20 + i, f"{' '.join(words(rng, 12))} desk 10.7.{i}.{i} Harbour {' '.join(words(rng, 9))}", None, None, None) for i in range(9)]
+    rows += [(100 + i, f"{' '.join(words(rng, 30))} desk", None, None, None) for i in range(300)]
+    found = pii.find(documents(spark, rows)).collect()
+    assert {r["text"][x["start"] : x["end"]] for r in found for x in r["term"]} == {"Blackwood", "Harbour"}
+    assert sum(len(r["term"]) for r in found) == 18
+
+
+def plain_disclosing(rows):
+    """Terms by counting, one text at a time."""
+    word = re.compile(r"[^\W\d_]+")
+    texts = {t or "" for _, t in rows}
+    n_term, n_entity, n_both = collections.Counter(), collections.Counter(), collections.Counter()
+    shared = {"email": lambda v: v.rpartition("@")[2], "ip": lambda v: ".".join(v.split(".")[:2]), "card": lambda v: v[:6], "phone": lambda v: v[:4]}
+    for t in texts:
+        n_term.update({w.lower() for w in word.findall(t)})
+        entities, pairs = set(), set()
+        for span in filter(None, plain_spans(t).split(",")):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b])
+            near = {m[0].lower() for m in word.finditer(t, max(0, a - pii.CONTEXT), a) if m.start() > max(0, a - pii.CONTEXT) or a <= pii.CONTEXT}
+            near |= {m[0].lower() for m in word.finditer(t, b, b + pii.CONTEXT) if m.end() < b + pii.CONTEXT}
+            for v in (value, "in " + shared[kind](value)):
+                entities.add((kind, v))
+                pairs |= {(kind, v, w) for w in near}
+        n_entity.update(entities)
+        n_both.update(pairs)
+    n, limit, found = len(texts), np.log(pii.CHANCE / max(1, len(n_both))), {}
+
+    def chance(whole, drawn, both):
+        q, p = both / drawn, whole / n
+        return -drawn * (q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0)) if q > p else 0
+
+    for (kind, v, w), both in n_both.items():
+        e, k = n_entity[kind, v], n_term[w]
+        both = min(both, e, k)
+        if n > e and min(chance(e, k, both), chance(k, e, both)) <= limit:
+            told = np.log2(both * n / (e * k)) / np.log2(n / e)
+            if told >= pii.GENERALISE:
+                found[w] = max(told, found.get(w, 0))
+    return found
+
+
+def test_registered_personal_data_matches_counting(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(i, f"{' '.join(words(rng, 12))} Blackwood x{chr(97 + i)}@corp.example {' '.join(words(rng, 12))}") for i in range(9)]
+    rows += [(10 + i, f"Regards {' '.join(words(rng, 20))}. Quagga +1 (222) 555-1234; {' '.join(words(rng, 30))} quagga") for i in range(4)]
+    rows += [(20 + i, f"{' '.join(words(rng, 30))} Regards") for i in range(200)] + [(900, None), (901, ""), (None, "no id Quagga"), (20, "again"), (902, rows[0][1]), (903, "far " * 40_000 + "Blackwood")]
+    documents(spark, [(*r, None, None, None) for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    told = plain_disclosing(rows)
+    assert set(told) == {"blackwood", "quagga"}
+    want = collections.Counter()
+    for d, t in rows:
+        spans = plain_spans(t)
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", t or "") if m[0].lower() in told]
+        counts = tuple(sum(s.startswith(k) for s in spans.split(",")) for k in ("email", "ip", "card", "phone"))
+        want[(d, *counts, hashlib.sha256(spans.encode()).hexdigest(), ",".join(filter(None, [spans, *terms])))] += 1
+    got = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
+
+
 def test_sanitised_texts(spark):
     rows = [(1, "mail bob@x.org or +1 (222) 555-1234, card 4111 1111 1111 1111; ip 10.0.0.1.", "l", "s", 3), *ODD]
     out = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows).withColumn("row", F.lit(7)).withColumn("email", F.lit("mine"))).collect()}
