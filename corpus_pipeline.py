@@ -2,10 +2,17 @@
 
 Every stage is written as Parquet in shared scratch space and read again as the next one's documents. Models are trained on the labelled rows
 among the documents that the stage is given.
+
+All stages take any columns beside doc_id and text and hand them on, whatever their names. Null and empty texts hold nothing toxic, get the quality score of no
+difference, are like no other and stay; the last stage packs them as their closing id alone. Very long texts are read whole. Rows that repeat a
+doc_id, or have none, are documents of their own everywhere; equal texts are near-duplicates, of which one row stays. Where a score is exactly at a
+threshold, 0.5 counts as toxic and 0.3 as good. An empty table goes through as an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +21,26 @@ from seqloom.llm.common import keep, table
 from seqloom.llm.queries import WORDS
 
 
+def _kept(docs: DataFrame, score: Callable[[DataFrame], DataFrame], which: str) -> DataFrame:
+    """The rows of ``docs`` for which ``which`` holds once they are scored; its columns may be named like a score."""
+    plain = docs.toDF(*(c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+    return score(plain).where(which).select(*plain.columns).toDF(*docs.columns)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5."""
+    """Documents that score below 0.5; those without a sentence score 0."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _kept(docs, lambda d: toxicity.score(d, model), "predicted = 0")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda d: quality.score(d, model), "predicted = 1")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near-duplicates."""
+    """The document with the least doc_id of each class of near-duplicates; rows without an id of their own come last."""
     return neardup.deduplicate(docs)
 
 
@@ -52,7 +65,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Trained models, sketches and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Trained models, sketches and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
