@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.runtime import scratch, ship
 
-#: Rows that Spark hands to Python at once: of texts, its default of 10,000 is tens of megabytes, several times over.
-BATCH_ROWS = 1000
-_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows, and bytes, that Spark hands to Python at once: its default of 10,000 texts is tens of megabytes, several times over, and without bound for long ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_ROWS, _BYTES, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "10000"
 
 
 def ready(spark: SparkSession) -> None:
     """Ships the package, and makes batches smaller unless the session sets a size of its own."""
     ship(spark)
-    if spark.conf.get(_BATCH) == _DEFAULT:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    if spark.conf.get(_ROWS) == _DEFAULT:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
