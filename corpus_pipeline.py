@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import neardup, packing, pii, quality, toxicity
-from seqloom.llm.common import keep, table
+from seqloom.llm.common import delete, keep, noting, table
 from seqloom.llm.queries import WORDS
 
 
@@ -70,9 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs)
-    return docs
+    """All stages over ``documents``; what a stage wrote besides its result, and the result once the next is written, is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with noting() as written:
+            docs = keep(stage(spark, docs, sf_dir))
+        delete(spark, [*before, *written[:-1]])
+        before = written[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
