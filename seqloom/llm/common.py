@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_noted: list[list[str]] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in shared scratch space and returns what was written.
 
@@ -37,9 +41,28 @@ def keep(df: DataFrame) -> DataFrame:
     ready(spark)
     path = scratch(spark)
     df.write.parquet(path)
+    for paths in _noted:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The paths that keep() writes to, as they come."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.pop()
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for p in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

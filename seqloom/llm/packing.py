@@ -53,7 +53,7 @@ _WORD_END = b"\xff"
 
 
 def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each byte: printable bytes are themselves, the others follow from 256 on."""
+    """Byte-level BPE's letter for each byte; printable bytes are themselves, the others follow from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -251,7 +252,10 @@ def test_pipeline_matches_plain_python(spark, folder):
         x.sort()
         assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 2048
     assert len(bins) <= sum(packing.best_fit_decreasing(collections.Counter(r["length"] for r in packed), 2048).values())
-    whole = corpus_pipeline.run(spark, path).collect()
+    with common.noting() as written:
+        whole = corpus_pipeline.run(spark, path).collect()
+    there = [w for w in written if pathlib.Path(w.removeprefix("file:")).exists()]
+    assert len(written) > 20 and there == written[-len(there) :] and len(there) <= 3  # the last stage's own, and what it reads
     assert collections.Counter(r["ids_crc32"] for r in whole) == collections.Counter(r["ids_crc32"] for r in packed)
 
 
