@@ -343,4 +343,4 @@ def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     odd = keep(repeated.select("row", (F.monotonically_increasing_id() + last + 1).alias("key")))
     rows = single.unionByName(odd)
     kept = classes(rows.select(F.col("key").alias("doc_id"), "row.text"), threshold).where("kept").select(F.col("doc_id").alias("key"))
-    return rows.join(keep(kept), "key", "left_semi").select("row.*")
+    return rows.join(keep(kept).hint("merge"), "key", "left_semi").select("row.*")  # a key for each class: never broadcast, at any size
