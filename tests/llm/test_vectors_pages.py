@@ -143,6 +143,47 @@ def test_recall_and_share_of_candidates(size, share):
     assert hit >= 0.9 * 21 * len(asked) and looked <= share * size * len(asked)
 
 
+@pytest.mark.parametrize("norms", ["equal", "unequal", "tiny", "huge"])
+@pytest.mark.parametrize("d", [64, 128])
+def test_vectors_that_no_probe_meets_are_found(norms, d):
+    """With few probes some of the nearest lie in other buckets."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, d))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= {"equal": 1.0, "unequal": rng.lognormal(0, 1.5, (3000, 1)), "tiny": 1e-150, "huge": 1e150}[norms]
+    unit = np.abs(v).max()
+    largest = np.linalg.norm(v / unit, axis=1).max() if norms == "unequal" else 0.0
+    ids = rng.permutation(3000)
+    index = ann.Index(v, largest, unit)
+    for q, (at, score) in zip(v[::30], index.search(v[::30], ids, 21, 24)):
+        s = v @ q
+        assert at.tolist() == np.lexsort((ids, -s))[:21].tolist() and np.allclose(score / s.max(), s[at] / s.max(), rtol=1e-12)
+    met = [len(set(at) & set(np.argsort(-(v @ q))[:21])) for q, at in zip(v[::30], index.candidates(v[::30], 24, 21))]
+    assert min(met) < 21
+
+
+def test_equal_scores_that_no_probe_meets_go_by_their_ids():
+    rng = np.random.default_rng(7)
+    v = np.sign(rng.normal(size=(4000, 64)))
+    index = ann.Index(v)
+    for q, (at, score) in zip(v[:50], index.search(v[:50], np.arange(4000)[::-1], 21, 2)):
+        s = v @ q
+        assert at.tolist() == np.lexsort((-np.arange(4000), -s))[:21].tolist() and (score == s[at]).all()
+
+
+def test_search_is_exact_where_buckets_tell_little(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1000 * 8 * 256)
+    rng = np.random.default_rng(8)
+    v = (rng.normal(size=(2000, 256)) * rng.lognormal(0, 0.5, (2000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(2000)], SCHEMA)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 100 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    assert got == {q: np.lexsort((np.arange(2000), -s[q]))[:20].tolist() for q in range(0, 2000, 100)}
+
+
 def test_rotation_keeps_lengths_and_angles():
     rng = np.random.default_rng(5)
     for d in (2, 8, 32, 64):
