@@ -84,14 +84,16 @@ def one_way_optimal(frame: DataFrame) -> DataFrame:
 
 
 def _bounds(frame: DataFrame, low: Column, high: Column) -> DataFrame:
-    """``frame`` with _lo and _hi from the block's own variation, by windows over the partitioning that is there."""
+    """``frame`` with _lo and _hi from the block's own variation, by windows over the partitioning that is there, where the frame doesn't bring it along."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("part")
-    g = F.col("x") - F.col("prev")
-    many = F.col("n") >= 2
-    rows = frame.withColumn("_up", F.when(many, F.sum(F.when(g >= 0, g).otherwise(0)).over(w)).otherwise(0))
-    rows = rows.withColumn("_down", F.when(many, F.sum(F.when(g < 0, -g).otherwise(0)).over(w)).otherwise(0))
+    rows = frame
+    if "_up" not in frame.columns:
+        w = W.partitionBy("part")
+        g = F.col("x") - F.col("prev")
+        many = F.col("n") >= 2
+        rows = rows.withColumn("_up", F.when(many, F.sum(F.when(g >= 0, g).otherwise(0)).over(w)).otherwise(0))
+        rows = rows.withColumn("_down", F.when(many, F.sum(F.when(g < 0, -g).otherwise(0)).over(w)).otherwise(0))
     return rows.withColumn("_lo", low.cast("bigint")).withColumn("_hi", high.cast("bigint"))
 
 

@@ -325,3 +325,24 @@ def test_shared_space_has_to_be_named_on_a_cluster():
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(RuntimeError):
         scratch(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn")))
+
+
+def test_frames_of_several_sizes_in_tasks_of_bounded_size(spark, monkeypatch):
+    """As one frame for each size, also where positions are left out, and no task holds more for a longer sequence."""
+    monkeypatch.setattr(blocks, "CHUNK", 16, raising=False)
+    monkeypatch.setattr(blocks, "TASK_ELEMENTS", 64, raising=False)
+    rng = random.Random(7)
+    seq = spark.createDataFrame([(p, rng.randint(-50, 10**6) if p % 300 > 40 else p) for p in range(3001) if p % 37 and not 420 <= p < 570], "pos long, value long")
+    block_sizes = [1, 24, 40, 700]
+    alone = None
+    for k, n in enumerate(block_sizes):
+        one = blocks.frame(seq, n).withColumn("part", F.col("part") + F.lit(k << 40))
+        alone = one if alone is None else alone.unionByName(one)
+    alone, together = alone.cache(), blocks.frames(seq, block_sizes)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(together.select(*alone.columns)) == rows(alone)
+    for choose in split.CHOOSERS.values():
+        assert rows(choose(together)) == rows(choose(alone))
+    held = together.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("pos").alias("n"))
+    assert max(r["n"] for r in held.collect()) <= 4 * 64
+    assert blocks.frames(make(spark, []), block_sizes).count() == 0
